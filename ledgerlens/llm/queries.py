@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .bpe_codec import op10_bpe
 from .secret_scans import op1_secret_scans
 from .sharding import op2_sharding
+from .token_store import op8_token_store
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_sharding": op2_sharding,
+    "op8_token_store": op8_token_store,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
