@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe_codec import op10_bpe
 from .jaccard_join import op9_jaccard_join
+from .language_id import op7_language_id
 from .secret_scans import op1_secret_scans
 from .sharding import op2_sharding
 from .token_store import op8_token_store
@@ -11,6 +12,7 @@ from .token_store import op8_token_store
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_sharding": op2_sharding,
+    "op7_language_id": op7_language_id,
     "op8_token_store": op8_token_store,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_bpe": op10_bpe,
