@@ -8,10 +8,12 @@ from .language_id import op7_language_id
 from .secret_scans import op1_secret_scans
 from .sharding import op2_sharding
 from .token_store import op8_token_store
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_sharding": op2_sharding,
+    "op5_toxicity": op5_toxicity,
     "op7_language_id": op7_language_id,
     "op8_token_store": op8_token_store,
     "op9_jaccard_join": op9_jaccard_join,
