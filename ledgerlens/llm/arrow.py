@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 
 #: Characters of text handled at once.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:

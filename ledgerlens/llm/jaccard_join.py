@@ -6,11 +6,11 @@
    have don't bring their documents together. Frequent ones are a bitmap of fixed size over hashes; a false one only
    changes the order.
 3. Classes that share a prefix shingle with few others make pairs; pairs whose sizes or signatures don't allow a link
-   go. Classes that share one with many make a star. Pairs and stars together are a graph whose components (clusters)
-   hold every link.
-4. A signature tree over each cluster finds links, exact on the whole sets, that connect all that is connected. A large
-   cluster is cut into blocks, each with the cluster's anchors; what is then outside the cluster's largest group is
-   compared with every block, so no pair goes untested but those in one group.
+   go. Classes that share one with many make a star; the components of the stars are crowds, and a signature tree over
+   a crowd finds what signatures allow. The components of all that (clusters) hold every link.
+4. A signature tree over each cluster, now with texts, finds links that are exact on the whole sets and connect all
+   that is connected. A large crowd or cluster is cut into blocks, each with its anchors; what is then outside the
+   largest group is compared with every block, so no pair goes untested but those in one group.
 5. The components of the links are the result.
 """
 
@@ -30,6 +30,8 @@ from .shingles import mix, shingle_sets
 FEW = 16
 #: Classes of a cluster that one tree holds; and classes compared with a block at once.
 BLOCK, ASKING = 128, 512
+#: Classes of a crowd (those that share frequent prefix shingles) whose signatures one tree holds.
+CROWD = 512
 #: Bits of the fixed-size bitmaps.
 SLOT_BITS = 23
 
@@ -190,23 +192,36 @@ def allowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def tree_links(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Links a, b between classes of rows with equal keys. rows: keys, cls, text, known (a group's number), asks."""
+    """Links a, b between classes of rows with equal keys, by a signature tree over each such group.
+
+    rows: keys, cls, known (a group's number), asks, and either text, then links are exact, or n and signature, then
+    they are what signatures allow.
+    """
+    exact = "text" in rows.columns
 
     def run(batches):
         for table in runs(batches, keys):
-            shingles, counts = shingle_sets(table.column("text").to_pylist())
-            cls = class_of(shingles, counts)
-            ends, wanted = np.cumsum(counts), table.column("cls").to_numpy()
-            known, asks = table.column("known").to_pylist(), table.column("asks").to_pylist()
-            mine = {int(c): k for k, c in enumerate(cls) if c == wanted[k]}  # a repeated doc_id brings texts of other classes
-            at = list(mine.values())
-            found = signature_tree.links([shingles[ends[k] - counts[k] : ends[k]] for k in at], [known[k] for k in at], [asks[k] for k in at])
-            a, b = ([int(cls[at[p[side]]]) for p in found] for side in (0, 1))
+            cls, known, asks = (table.column(c).to_pylist() for c in ("cls", "known", "asks"))
+            test = None
+            if exact:
+                shingles, size = shingle_sets(table.column("text").to_pylist())
+                ends, true = np.cumsum(size), class_of(shingles, size).tolist()
+                # a class once; and a repeated doc_id brings texts of other classes
+                at = sorted({c: k for k, c in reversed([*enumerate(cls)]) if true[k] == c}.values())
+                sets = [shingles[ends[k] - size[k] : ends[k]] for k in at]
+                size = size[at]
+                marks = [signature_tree.bitmap(x, signature_tree.bits_for(len(x))) for x in sets]
+                test = lambda i, j, sets=sets: signature_tree.linked(sets[i], sets[j])
+            else:
+                at = sorted({c: k for k, c in reversed([*enumerate(cls)])}.values())
+                marks = [np.frombuffer(table.column("signature")[k].as_buffer(), dtype=np.uint64) for k in at]
+                size = table.column("n").to_numpy()[at]
+            found = signature_tree.links(marks, size, test, [known[k] for k in at], [asks[k] for k in at])
+            a, b = ([cls[at[p[side]]] for p in found] for side in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialize(rows.select(*keys, "cls", "text", "known", "asks"), "dealt")
-    return dealt.repartitionByRange(n, *keys).sortWithinPartitions(*keys, F.desc("asks"), "cls").mapInArrow(run, "a long, b long")
+    return rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys, F.desc("asks"), "cls").mapInArrow(run, "a long, b long")
 
 
 def with_texts(members: DataFrame, docs: DataFrame) -> DataFrame:
@@ -221,30 +236,36 @@ def with_texts(members: DataFrame, docs: DataFrame) -> DataFrame:
     return near.join(members, near.doc_id.eqNullSafe(members.doc)).drop("doc_id")
 
 
-def cluster_links(clusters: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links that connect all that is connected. clusters: node, component, doc, n, weight (for the choice of anchors)."""
-    stats = clusters.groupBy("component").agg(
+def cluster_links(members: DataFrame, block: int) -> DataFrame:
+    """Links that connect all that is connected within clusters.
+
+    members: component, cls, n, weight (for the choice of anchors), and text or signature. A cluster is dealt into
+    blocks, each with the anchors; a tree over each block finds its links. What is then outside the largest group of its
+    cluster is compared, some at a time, with every block.
+    """
+    payload = "text" if "text" in members.columns else "signature"
+    stats = members.groupBy("component").agg(
         F.count("*").alias("size"),
-        F.array_distinct(F.array(F.max_by("node", F.struct("weight", "node")), F.min_by("node", F.struct("n", "node")), F.min("node"))).alias("anchors"),
+        F.array(F.max_by("cls", F.struct("weight", "cls")), F.min_by("cls", F.struct("n", "cls")), F.min("cls")).alias("anchors"),
     )
-    members = clusters.join(stats, "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    members = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumnRenamed("node", "cls")
-    texts = materialize(with_texts(members.select("component", "cls", "doc", "blocks", "own", F.array_contains("anchors", F.col("cls")).alias("anchor")), docs), "cluster-texts")
+    rows = members.join(stats, "component").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("anchor", F.array_contains("anchors", F.col("cls")))
     spread = F.when(F.col("anchor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
-    first = texts.select("component", F.explode(spread).alias("block"), "cls", "text", F.col("cls").alias("known"), F.lit(True).alias("asks"))
+    first = rows.select("component", F.explode(spread).alias("block"), "cls", "n", payload, F.col("cls").alias("known"), F.lit(True).alias("asks"))
     found = materialize(tree_links(first, ["component", "block"]), "links")
-    large = texts.filter("blocks > 1")
+    large = rows.filter("blocks > 1").select("component", "cls", "n", payload, "blocks", "own")
     if large.isEmpty():
         return found
     groups = components(found)
-    large = large.join(groups.select(F.col("node").alias("cls"), F.col("component").alias("known")), "cls", "left").withColumn("known", F.coalesce("known", "cls"))
-    counted = large.groupBy("component", "known").count()
+    known = F.coalesce("known", "cls")
+    grouped = large.select("component", "cls").join(groups.select(F.col("node").alias("cls"), F.col("component").alias("known")), "cls", "left").withColumn("known", known)
+    grouped = materialize(grouped, "grouped")
+    counted = grouped.groupBy("component", "known").count()
     main = counted.groupBy("component").agg(F.max_by("known", F.struct("count", "known")).alias("main"), F.expr("sum(count) - max(count)").alias("outside"))
-    large = materialize(large.join(main.filter("outside > 0"), "component"), "large")
+    large = large.join(grouped, ["component", "cls"]).join(main.filter("outside > 0"), "component")
     parts = F.ceil(F.col("outside") / ASKING).cast("int")
-    outside = F.col("known") != F.col("main")
-    each = large.select("component", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("own").alias("block"), "cls", "text", "known", F.lit(False).alias("asks"))
-    asking = large.filter(outside).select("component", F.pmod(F.xxhash64("cls", F.lit(1)), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cls", "text", "known", F.lit(True).alias("asks"))
+    each = large.select("component", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("own").alias("block"), "cls", "n", payload, "known", F.lit(False).alias("asks"))
+    asking = large.filter("known <> main").select("component", F.pmod(F.xxhash64("cls", F.lit(1)), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cls", "n", payload, "known", F.lit(True).alias("asks"))
     return found.union(tree_links(each.union(asking), ["component", "part", "block"]))
 
 
@@ -259,17 +280,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     late = frequent(rows.select("prefix"))
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"))
     shared = materialize(_shared(prefix_rows(docs, late)), "shared")
-    few = close_pairs(shared.filter(F.col("many") <= FEW))
-    marks = rows.filter("n > 0").select("cls", "n", "signature").join(few.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi").dropDuplicates(["cls"])
+    few = materialize(close_pairs(shared.filter(F.col("many") <= FEW)), "pairs")
     stars = shared.filter(F.col("many") > FEW)
-    edges = allowed(few, marks).union(stars.select(F.col("cls").alias("a"), F.col("leader").alias("b")).distinct())
-    clusters = components(edges)
-    weight = stars.groupBy(F.col("cls").alias("node")).agg((F.count("*") / F.max("n")).alias("weight"))
-    clusters = clusters.join(classes.withColumnRenamed("cls", "node"), "node").join(weight, "node", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    groups = components(cluster_links(materialize(clusters, "clusters"), docs)).withColumnsRenamed({"node": "cls"})
+    weight = stars.groupBy("cls").agg((F.count("*") / F.max("n")).alias("weight"))
+    marked = few.select(F.explode(F.array("a", "b")).alias("cls")).union(weight.select("cls")).distinct()
+    marks = materialize(rows.filter("n > 0").select("cls", "n", "signature").join(marked, "cls", "left_semi").dropDuplicates(["cls"]).join(weight, "cls", "left").fillna(0.0, ["weight"]), "marks")
+    crowds = components(stars.select(F.col("cls").alias("a"), F.col("leader").alias("b")).distinct()).withColumnsRenamed({"node": "cls"})
+    edges = allowed(few, marks).union(cluster_links(crowds.join(marks, "cls"), CROWD))
+    clusters = components(edges).withColumnsRenamed({"node": "cls"})
+    members = clusters.join(classes.select("cls", "doc"), "cls").join(marks.select("cls", "n", "weight"), "cls")
+    texts = materialize(with_texts(materialize(members, "members"), docs), "cluster-texts")
+    groups = components(cluster_links(texts, BLOCK)).withColumnsRenamed({"node": "cls"})
     # what has no class stands alone
     named = rows.select("doc_id", "n", "cls").join(groups, "cls", "left").withColumn("key", F.coalesce("component", "cls"))
-    least = named.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
+    least = materialize(named.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least")), "least")  # so that Spark can split the join
     out = named.join(least, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 

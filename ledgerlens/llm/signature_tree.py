@@ -70,14 +70,14 @@ class Groups:
 
 
 class Tree:
-    """Levels from the sets themselves up; each level has words, low, high (sizes) and lost of its nodes."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        size = np.array([len(s) for s in sets], dtype=np.int64)
-        self.order = np.lexsort(([int(s[0]) for s in sets], size))
-        bits = bits_for(int(np.median(size)))
-        words = np.stack([bitmap(sets[k], bits) for k in self.order])
-        size = size[self.order]
+    """Levels from the sets themselves up; each level has words, low, high (sizes) and lost of its nodes.
+
+    words: a row for each set, its signature; all of one length. size: of each set.
+    """
+
+    def __init__(self, words: np.ndarray, size: np.ndarray):
+        self.order = np.lexsort((words[:, 0], size))
+        words, size = words[self.order], size[self.order]
         self.levels = [(words, size, size, size - np.bitwise_count(words).sum(1).astype(np.int64))]
         while len(self.levels[-1][0]) > FANOUT:
             words, low, high, lost = self.levels[-1]
@@ -112,20 +112,35 @@ class Tree:
                 stack.append((level - 1, a[keep], b[keep]))
 
 
-def links(sets: list[np.ndarray], start: list[int] | None = None, asks: list[bool] | None = None) -> list[tuple[int, int]]:
-    """Links between the sets that join all that are connected; a pair in one group already isn't tested.
+def trees(marks: list[np.ndarray], size: np.ndarray):
+    """Trees that hold all pairs that may link, each with the places of its sets, and which of them it has for the first time.
+
+    Sets of linked sizes have signatures that differ in length by a factor of two at most, so there is a tree for each
+    length, with the sets of twice that length folded.
+    """
+    length = np.array([len(m) for m in marks])
+    for n in sorted(set(length.tolist())):
+        own, twice = np.flatnonzero(length == n), np.flatnonzero(length == 2 * n)
+        at = np.concatenate([own, twice])
+        yield Tree(np.stack([folded(marks[k], 64 * n) for k in at]), size[at]), at, np.arange(len(at)) < len(own)
+
+
+def links(marks: list[np.ndarray], size: np.ndarray, test=None, start: list[int] | None = None, asks: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Pairs of sets, out of those that may link and pass the test, that join all that such pairs connect.
 
-    start: groups known before, by a number for each set. asks: pairs without a set that asks are known before too.
+    marks, size: signatures and sizes. test(i, j): whether a pair is linked; without one what may link is. A pair that
+    is in one group already isn't tested. start: groups known before, a number for each set. asks: pairs without a set
+    that asks are known before too.
     """
-    if len(sets) < 2:
-        return []
-    groups, found = Groups(len(sets)), []
+    groups, found = Groups(len(marks)), []
     first: dict[int, int] = {}
     for k, g in enumerate(start or []):
         groups.join(k, first.setdefault(g, k))
-    for i, j in Tree(sets).pairs():
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            if (asks is None or asks[a] or asks[b]) and groups.find(a) != groups.find(b) and linked(sets[a], sets[b]):
-                groups.join(a, b)
-                found.append((a, b))
+    for tree, at, own in trees(marks, size) if len(marks) > 1 else ():
+        for i, j in tree.pairs():
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                a, b = int(at[x]), int(at[y])
+                if (own[x] or own[y]) and (asks is None or asks[a] or asks[b]) and groups.find(a) != groups.find(b) and (test is None or test(a, b)):
+                    groups.join(a, b)
+                    found.append((a, b))
     return found

@@ -58,10 +58,10 @@ def family_texts():
     return texts
 
 
-@pytest.mark.parametrize("sizes", [None, (3, 8, 4), (2, 4, 100)])
+@pytest.mark.parametrize("sizes", [None, (3, 8, 4, 7), (2, 4, 100, 100)])
 def test_against_all_pairs(spark, make_docs, monkeypatch, sizes):
     if sizes:
-        for name, value in zip(("FEW", "BLOCK", "ASKING"), sizes, strict=True):
+        for name, value in zip(("FEW", "BLOCK", "ASKING", "CROWD"), sizes, strict=True):
             monkeypatch.setattr(J, name, value)
     texts = family_texts()
     ids = [3 * k % 1000 for k in range(len(texts))]
@@ -97,13 +97,15 @@ def test_tree_loses_no_pair():
     for k in range(100):
         s = sets[r.integers(0, 60)]
         sets.append(np.unique(np.concatenate([s[r.random(len(s)) > 0.1 * r.random()], r.integers(0, 1 << 63, 2).astype(np.uint64)])))
-    allowed = {tuple(sorted(p)) for i, j in T.Tree(sets).pairs() for p in zip(i.tolist(), j.tolist(), strict=True)}
+    marks = [T.bitmap(s, T.bits_for(len(s))) for s in sets]
+    allowed = set()
+    for tree, at, _ in T.trees(marks, np.array([len(s) for s in sets])):
+        allowed |= {tuple(sorted((int(at[x]), int(at[y])))) for i, j in tree.pairs() for x, y in zip(i.tolist(), j.tolist(), strict=True)}
     for a in range(len(sets)):
         for b in range(a):
             if T.linked(sets[a], sets[b]):
                 assert (b, a) in allowed
-                marks = [T.bitmap(s, T.bits_for(len(s))) for s in (sets[a], sets[b])]
-                assert T.may_link(marks[0], len(sets[a]), marks[1], len(sets[b]))
+                assert T.may_link(marks[a], len(sets[a]), marks[b], len(sets[b]))
 
 
 def test_components_of_a_path_and_a_hub(spark):
