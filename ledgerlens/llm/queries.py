@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe_codec import op10_bpe
 from .jaccard_join import op9_jaccard_join
 from .language_id import op7_language_id
+from .quality_rules import op3_quality_rules
 from .secret_scans import op1_secret_scans
 from .sharding import op2_sharding
 from .token_store import op8_token_store
@@ -13,6 +14,7 @@ from .toxicity import op5_toxicity
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_sharding": op2_sharding,
+    "op3_quality_rules": op3_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op7_language_id": op7_language_id,
     "op8_token_store": op8_token_store,
