@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe_codec import op10_bpe
 from .jaccard_join import op9_jaccard_join
 from .language_id import op7_language_id
+from .mixing import op4_mixing
 from .quality_rules import op3_quality_rules
 from .secret_scans import op1_secret_scans
 from .sharding import op2_sharding
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_sharding": op2_sharding,
     "op3_quality_rules": op3_quality_rules,
+    "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op7_language_id": op7_language_id,
     "op8_token_store": op8_token_store,
