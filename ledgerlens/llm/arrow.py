@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 
 #: Characters of text handled at once.
@@ -26,6 +27,30 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             yield batch.slice(at, len(texts)), texts
 
 
+def runs(batches, keys: list[str]):
+    """The rows of sorted batches as tables, one for each run of equal keys."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not len(table):
+            continue
+        change = np.zeros(len(table) - 1, dtype=bool)
+        for k in keys:
+            v = table.column(k).to_numpy()
+            change |= v[1:] != v[:-1]
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(table)]
+        if held and any(held[0].column(k)[0] != table.column(k)[0] for k in keys):
+            yield pa.concat_tables(held)
+            held = []
+        for a, b in zip(edges, edges[1:], strict=False):
+            held.append(table.slice(a, b - a))
+            if b < len(table):
+                yield pa.concat_tables(held)
+                held = []
+    if held:
+        yield pa.concat_tables(held)
+
+
 _made: dict = {}
 
 

@@ -117,30 +117,6 @@ def prefix_rows(docs: DataFrame, late: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "shingle long, cls long, n int")
 
 
-def runs(batches, keys: list[str]):
-    """The rows of sorted batches as tables, one for each run of equal keys."""
-    held: list[pa.Table] = []
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if not len(table):
-            continue
-        change = np.zeros(len(table) - 1, dtype=bool)
-        for k in keys:
-            v = table.column(k).to_numpy()
-            change |= v[1:] != v[:-1]
-        edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(table)]
-        if held and any(held[0].column(k)[0] != table.column(k)[0] for k in keys):
-            yield pa.concat_tables(held)
-            held = []
-        for a, b in zip(edges, edges[1:], strict=False):
-            held.append(table.slice(a, b - a))
-            if b < len(table):
-                yield pa.concat_tables(held)
-                held = []
-    if held:
-        yield pa.concat_tables(held)
-
-
 def with_end(batches):
     yield from batches
     yield None
@@ -200,7 +176,7 @@ def tree_links(rows: DataFrame, keys: list[str]) -> DataFrame:
     exact = "text" in rows.columns
 
     def run(batches):
-        for table in runs(batches, keys):
+        for table in arrow.runs(batches, keys):
             cls, known, asks = (table.column(c).to_pylist() for c in ("cls", "known", "asks"))
             test = None
             if exact:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe_codec import op10_bpe
+from .curve_neighbours import op6_curve_neighbours
 from .jaccard_join import op9_jaccard_join
 from .language_id import op7_language_id
 from .mixing import op4_mixing
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_curve_neighbours": op6_curve_neighbours,
     "op7_language_id": op7_language_id,
     "op8_token_store": op8_token_store,
     "op9_jaccard_join": op9_jaccard_join,
