@@ -1,15 +1,60 @@
-"""The corpus pipeline: its stages in order, each written and read again by the next."""
+"""The corpus pipeline: five stages in order, each written and read again by the next.
+
+A stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlens.llm import bpe_codec, jaccard_join, mixing, secret_scans, toxicity
+from ledgerlens.llm.language_id import held_out
+from ledgerlens.llm.shared import documents, materialize, new_path, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; the lexicon is learned from labelled documents outside the held-out third."""
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 3, 1))
+    scored = toxicity.score(docs, toxicity.learn(docs, labels), *docs.columns, name="_toxicity")
+    return scored.filter(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of linked ones."""
+    return jaccard_join.without_copies(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, the secrets in their texts masked, and n_chars as the text is then."""
+    return secret_scans.redacted(docs, secret_scans.Ledger(spark, new_path(spark, "secret-ledger")))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: none, or up to three equal rows."""
+    return mixing.realised(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and token_ids of every row."""
+    return bpe_codec.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), "doc_id", with_ids=True)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_copies),
+    ("secret scans", redact_secrets),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", encode),
+]
 
-STAGES: list = []
+#: Scores are learned, so SQL can't express the first stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -40,8 +40,8 @@ def encode(docs: DataFrame, path: str, *keep: str) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, f"{fields}, token_ids array<int>")
 
 
-def round_trip(docs: DataFrame, path: str, *keep: str) -> DataFrame:
-    """The `keep` columns with n_tokens, ids_sha256 (of decimal ids, comma-joined) and decoded_sha256.
+def round_trip(docs: DataFrame, path: str, *keep: str, with_ids: bool = False) -> DataFrame:
+    """The `keep` columns with n_tokens, ids_sha256 (of decimal ids, comma-joined) and decoded_sha256, and token_ids if asked for.
 
     A null text is an empty one: no tokens, hashes of nothing. A name of a special token in a text is that token, as
     the tokenizer file has it. Memory follows the longest text, not the number of rows; copies and repeated rows are
@@ -62,12 +62,12 @@ def round_trip(docs: DataFrame, path: str, *keep: str) -> DataFrame:
                 while block := list(islice(rest, BLOCK)):
                     decoded.update(decoder.feed(block).encode())
                 decoded.update(decoder.finish().encode())
-                rows.append((len(ids), hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), decoded.hexdigest()))
-            made = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+                rows.append((len(ids), hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), decoded.hexdigest(), *([ids] if with_ids else [])))
+            made = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())), strict=False)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], [*keep, "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"][: len(keep) + len(made)])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import arrow, signature_tree
 from .components import components
-from .shared import documents, materialize
+from .shared import SLOT_BITS, documents, marked, materialize, scratch, slot_of, slot_words
 from .shingles import mix, shingle_sets
 
 #: Most classes with one prefix shingle that are paired; those with more make a star.
@@ -32,8 +32,6 @@ FEW = 16
 BLOCK, ASKING = 128, 512
 #: Classes of a crowd (those that share frequent prefix shingles) whose signatures one tree holds.
 CROWD = 512
-#: Bits of the fixed-size bitmaps.
-SLOT_BITS = 23
 
 
 def prefix_length(n):
@@ -79,11 +77,6 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cls long, signature binary, prefix array<long>")
 
 
-def slot_words(slots: DataFrame) -> DataFrame:
-    """word and bits of a bitmap in which each of the slots (a column of numbers below 2**SLOT_BITS) is set; at most 2**17 rows."""
-    return slots.toDF("s").groupBy((F.col("s") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("bits"))
-
-
 def frequent(prefixes: DataFrame) -> np.ndarray:
     """The bitmap of shingles that more than FEW prefixes have, as 64-bit words: 1 MB at any size of the input."""
     counted = prefixes.select(F.explode("prefix").alias("s")).groupBy("s").count().filter(F.col("count") > FEW)
@@ -205,10 +198,7 @@ def with_texts(members: DataFrame, docs: DataFrame) -> DataFrame:
 
     A bitmap of fixed size over hashed ids, broadcast, keeps texts of other documents from being moved.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SLOT_BITS))
-    words = slot_words(members.select(slot("doc")))
-    near = docs.select("doc_id", "text").withColumn("_slot", slot("doc_id")).withColumn("word", (F.col("_slot") / 64).cast("int"))
-    near = near.join(F.broadcast(words), "word").filter(F.expr("getbit(bits, cast(_slot % 64 as int)) = 1")).select("doc_id", "text")
+    near = marked(docs.select("doc_id", "text"), "doc_id", slot_words(members.select(slot_of("doc")))).filter("marked").drop("marked")
     return near.join(members, near.doc_id.eqNullSafe(members.doc)).drop("doc_id")
 
 
@@ -250,8 +240,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     Texts are whole; null, empty and wordless ones have no shingles and link with nothing, so their component is their
     own id. Repeated rows are rows of their own, linked by their equal sets. A null doc_id is no component's smallest
-    unless all are null. Other columns of docs are not looked at. An empty table gives no rows.
+    unless all are null. Other columns of docs are not looked at. An empty table gives no rows. The result is written;
+    the tables made on the way are deleted.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_components(docs), "jaccard-components")
+
+
+def _components(docs: DataFrame) -> DataFrame:
     rows = materialize(sized(docs), "sized")
     late = frequent(rows.select("prefix"))
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"))
@@ -282,3 +278,21 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component: that with the smallest doc_id, and of rows with one id one.
+
+    Rows with a null id have a place of their own after all ids. Texts are moved only of documents whose ids share a
+    place in a bitmap of fixed size with one that goes.
+    """
+    spark = docs.sparkSession
+    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.monotonically_increasing_id()))
+    with scratch(spark) as keep:
+        found = jaccard_components(named.select(F.col("_id").alias("doc_id"), "text"))
+        gone = found.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_and(F.col("component_id") != F.col("doc_id")).alias("goes"), F.count("*").alias("_rows"))
+        gone = keep(gone.filter("goes or _rows > 1").select("_id", "goes"), "copies")
+        words = keep(slot_words(gone.select(slot_of("_id"))), "copies-bitmap")
+    rows = marked(named, "_id", words)
+    some = rows.filter("marked").join(gone.filter("goes").select("_id"), "_id", "left_anti").dropDuplicates(["_id"])
+    return rows.filter("not marked").select(*docs.columns).union(some.select(*docs.columns))

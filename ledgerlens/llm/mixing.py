@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import json
 from collections import defaultdict, deque
+from dataclasses import dataclass
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WORD, documents, materialize
+from .shared import WORD, documents, materialize, scratch
 
 #: Times that a document may be used; the seed of the order; bits of the order looked at in one round; documents on
 #: either side of a pattern's cut among which its last words are looked for.
@@ -146,80 +147,123 @@ def _cuts(rows: DataFrame, wanted: dict[str, int]) -> tuple[dict[str, tuple[int,
                 done[p] = (begin["part"] << width, (max(r["last"] or 0, r["first"]["part"]) + 1) << width)
                 open_.remove(p)
     near = spark.createDataFrame([(p, *x) for p, x in done.items()], "pattern string, low long, high long")
-    late = rows.join(F.broadcast(near), "pattern").filter("place >= low and place < high and size > 0").select("pattern", "place", "uid", "size").collect()
+    late = rows.join(F.broadcast(near), "pattern").filter("place >= low and place < high and size > 0").select("pattern", "place", "size").collect()
     single = []
-    for p, group in groupby(sorted(late, key=lambda r: (r["pattern"], r["place"], r["uid"])), key=lambda r: r["pattern"]):
-        single += [(r["uid"],) for r in fill(list(group), state[p]["want"] - state[p]["before"])]
+    for p, group in groupby(sorted(late, key=lambda r: (r["pattern"], r["place"])), key=lambda r: r["pattern"]):
+        units = [(place, sum(r["size"] for r in rows)) for place, rows in groupby(group, key=lambda r: r["place"])]
+        single += [(p, place) for place in fill(units, state[p]["want"] - state[p]["before"])]
     return done, single
 
 
-def fill(rows: list, gap: int) -> list:
-    """Rows whose sizes come as near to the gap as they can without passing it, the first ones where there is a choice.
+def fill(units: list[tuple[int, int]], gap: int) -> list[int]:
+    """Units (place, size) whose sizes come as near to the gap as they can without passing it, the first where there is a choice.
 
-    Rows are taken in order while they are many more than LAST; of the others every sum that can be reached is looked at.
+    Units are taken in order while they are many more than LAST; of the others every sum that can be reached is looked at.
     """
     out = []
-    while len(rows) > 3 * LAST:
-        r = rows.pop(0)
-        if r["size"] <= gap:
-            gap -= r["size"]
-            out.append(r)
+    while len(units) > 3 * LAST:
+        place, size = units.pop(0)
+        if size <= gap:
+            gap -= size
+            out.append(place)
     sums, mask = [1], (1 << (gap + 1)) - 1  # bit n: the sum n can be reached
-    for r in rows:
-        sums.append((sums[-1] | sums[-1] << r["size"]) & mask)
+    for _, size in units:
+        sums.append((sums[-1] | sums[-1] << size) & mask)
     left = sums[-1].bit_length() - 1
-    for r, before in zip(rows[::-1], sums[-2::-1], strict=True):
+    for (place, size), before in zip(units[::-1], sums[-2::-1], strict=True):
         if not before >> left & 1:
-            left -= r["size"]
-            out.append(r)
+            left -= size
+            out.append(place)
     return out
 
 
-def mix(rows: DataFrame, quotas: dict[str, int], copies: int = COPIES, seed: int = SEED) -> DataFrame:
-    """rows with uses, how often the mix takes each document (0 to copies).
+@dataclass
+class Plan:
+    """What a mix takes: for each pattern whole uses of all its documents, and one more of those before the cut; and single places."""
+
+    rows: list[tuple[str, int, int]]
+    single: list[tuple[str, int]]
+    seed: int
+    by_row: bool = False
+
+    def uses(self, rows: DataFrame) -> DataFrame:
+        """rows (with uid, doc_id and members) with uses; both tables of the plan are some numbers for each pattern."""
+        spark = rows.sparkSession
+        out = placed(rows, self.seed, self.by_row)
+        plan = spark.createDataFrame(self.rows, "_pattern string, _whole int, _cut long")
+        single = spark.createDataFrame([(*x, 1) for x in self.single], "_pattern string, _place long, _extra int")
+        out = out.join(F.broadcast(plan), "_pattern", "left").join(F.broadcast(single), ["_pattern", "_place"], "left")
+        more = F.when((F.col("_place") < F.col("_cut")) | F.col("_extra").isNotNull(), F.lit(1)).otherwise(F.lit(0))
+        return out.withColumn("uses", F.coalesce("_whole", F.lit(0)) + more).drop("_whole", "_cut", "_extra", "_pattern", "_place")
+
+
+def placed(rows: DataFrame, seed: int, by_row: bool) -> DataFrame:
+    key = F.col("uid") if by_row else F.coalesce(F.col("doc_id").cast("long"), F.col("uid"))
+    rows = rows.withColumn("_pattern", F.to_json(F.array_sort(F.array_distinct("members"))))
+    return rows.withColumn("_place", F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 4))
+
 
-    rows: uid (a number for each row), doc_id, members (an array of sources' names), size. Sources without a quota take
-    nothing. The order is by hashed doc_id; rows with a null one go by uid. What comes to the driver is a row for each
-    pattern and some for each pattern's cut, however many documents there are.
+def plan_mix(rows: DataFrame, quotas: dict[str, int], copies: int = COPIES, seed: int = SEED) -> Plan:
+    """The plan of a mix. rows: uid (a number for each row), doc_id, members (an array of sources' names), size.
+
+    Sources without a quota take nothing. The order is by hashed doc_id; rows with a null one go by uid, and so do all
+    rows if one doc_id has very many. What comes to the driver is a row for each pattern and some for each pattern's
+    cut, however many documents there are.
     """
-    spark = rows.sparkSession
-    place = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.col("uid")), F.lit(seed)), 4)
-    rows = rows.withColumn("pattern", F.to_json(F.array_sort(F.array_distinct("members")))).withColumn("place", place)
-    rows = materialize(rows, "mix")
-    patterns = {r["pattern"]: r["size"] for r in rows.groupBy("pattern").agg(F.sum("size").alias("size")).collect()}
-    members = {p: json.loads(p) for p in patterns}
-    flow = min_cost_flow({p: n for p, n in patterns.items() if n}, members, quotas, copies)
-    given = {p: sum(f.values()) for p, f in flow.items()}
-    whole = {p: n // patterns[p] for p, n in given.items()}
-    wanted = {p: n % patterns[p] for p, n in given.items()}
-    found = _cuts(rows, wanted)
-    if found is None:  # a doc_id of very many rows: then the order is by uid
-        rows = materialize(rows.withColumn("place", F.shiftrightunsigned(F.xxhash64("uid", F.lit(seed)), 4)), "mix")
-        found = _cuts(rows, wanted)
+    for by_row in (False, True):
+        order = materialize(placed(rows, seed, by_row).select(F.col("_pattern").alias("pattern"), F.col("_place").alias("place"), "size"), "mix")
+        patterns = {r["pattern"]: r["size"] for r in order.groupBy("pattern").agg(F.sum("size").alias("size")).collect()}
+        members = {p: json.loads(p) for p in patterns}
+        flow = min_cost_flow({p: n for p, n in patterns.items() if n}, members, quotas, copies)
+        given = {p: sum(f.values()) for p, f in flow.items()}
+        found = _cuts(order, {p: n % patterns[p] for p, n in given.items()})
+        if found is not None:
+            break
     cut, single = found
-    plan = [(p, whole.get(p, 0), cut[p][0] if p in cut else 0) for p in patterns]
-    out = rows.join(F.broadcast(spark.createDataFrame(plan, "pattern string, whole int, cut long")), "pattern")
-    out = out.join(F.broadcast(spark.createDataFrame(single, "uid long").withColumn("extra", F.lit(1))), "uid", "left")
-    uses = F.col("whole") + F.when((F.col("place") < F.col("cut")) | F.col("extra").isNotNull(), F.lit(1)).otherwise(F.lit(0))
-    return out.withColumn("uses", uses).drop("whole", "cut", "extra", "pattern", "place")
+    return Plan([(p, given[p] // patterns[p] if p in given else 0, cut[p][0] if p in cut else 0) for p in sorted(patterns)], single, seed, by_row)
 
 
-def mix_documents(docs: DataFrame, keep: tuple[str, ...] = (), seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, uses and taken of every document, with the `keep` columns.
+def mix(rows: DataFrame, quotas: dict[str, int], copies: int = COPIES, seed: int = SEED) -> DataFrame:
+    """rows (see plan_mix) with uses, how often the mix takes each document (0 to copies)."""
+    return plan_mix(rows, quotas, copies, seed).uses(rows)
 
-    Sources are weighed 1, 2, 3 in turn and share all words. A null text has no words, a null source is a source. Repeated
-    rows are documents of their own. A source with a third of all rows is summed by parts of the order. Other columns are
-    not looked at. An empty table gives no rows. The driver holds a few numbers for each source.
-    """
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "source", word_count(F.col("text")).alias("size"), *keep)
-    rows = materialize(rows.withColumn("members", F.array(member(F.col("source")))), "sizes")
+
+def plan_documents(rows: DataFrame, seed: int = SEED) -> tuple[Plan, DataFrame]:
+    """The plan that gives sources weights 1, 2, 3 in turn, and s, source_size and target of each source."""
     sizes = {r["source"]: r["size"] for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     targets = weighted_targets(sizes)
     quotas = {"null" if s is None else f"={s}": round(t) for s, t in targets.items()}
     info = rows.sparkSession.createDataFrame([(s, sizes[s], targets[s]) for s in sizes], "s string, source_size long, target double")
-    out = mix(rows, quotas, seed=seed)
-    out = out.join(F.broadcast(info), F.col("source").eqNullSafe(F.col("s")))
-    return out.select("doc_id", "source", "size", "source_size", "target", "uses", (F.col("size") * F.col("uses")).alias("taken"), *keep)
+    return plan_mix(rows, quotas, seed=seed), info
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """docs with uid and members; uid depends on how the input's files are split, and matters for null ids only."""
+    return docs.withColumn("uid", F.monotonically_increasing_id()).withColumn("members", F.array(member(F.col("source"))))
+
+
+def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, uses and taken of every document.
+
+    Sources are weighed 1, 2, 3 in turn and share all words. A null text has no words, a null source is a source. Rows
+    with one id are taken together. A source with a third of all rows is summed by parts of the order. Other columns are
+    not looked at. An empty table gives no rows. The driver holds a few numbers for each source.
+    """
+    rows = materialize(identified(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))), "sizes")
+    plan, info = plan_documents(rows, seed)
+    out = plan.uses(rows).join(F.broadcast(info), F.col("source").eqNullSafe(F.col("s")))
+    return out.select("doc_id", "source", "size", "source_size", "target", "uses", (F.col("size") * F.col("uses")).alias("taken"))
+
+
+def realised(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The mix itself: each row of docs as often as the mix takes it, so zero to COPIES times. Texts are not moved."""
+    columns = docs.columns
+    with scratch(docs.sparkSession):
+        small = materialize(identified(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))), "sizes")
+        plan, _ = plan_documents(small, seed)
+    whole = identified(docs.select(F.struct(*columns).alias("_row"), "doc_id", "source"))
+    out = plan.uses(whole).filter("uses > 0")
+    return out.select(F.col("_row"), F.explode(F.sequence(F.lit(1), F.col("uses")))).select("_row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

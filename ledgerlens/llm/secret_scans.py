@@ -134,6 +134,18 @@ def redact(text: Column, found: Column, mask: str = "[REDACTED]") -> Column:
     return F.when(F.size(found) > 0, F.aggregate(found, begin, step, rest)).otherwise(text)
 
 
+def redacted(docs: DataFrame, ledger: Ledger) -> DataFrame:
+    """docs with what was found masked in their texts, and n_chars made the length of those that changed; null texts stay."""
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    rows = secrets(whole, ledger, keep=("_row", "text"))
+    text = F.when(F.col("text").isNotNull(), redact(F.col("text"), F.col("found")))
+    row = F.col("_row").withField("text", text)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        row = row.withField("n_chars", F.when(F.size("found") > 0, F.length(text).cast(kind)).otherwise(F.col("_row.n_chars")))
+    return rows.select(row.alias("_row")).select("_row.*")
+
+
 def described(found: Column, rules=RULES) -> Column:
     names = F.array(*[F.lit(r.name) for r in rules])
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["stop"].cast("string"))), ",")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_paths: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _paths.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _paths[-1]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -36,6 +41,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables that are written inside, but for what the given function writes.
+
+    with scratch(spark) as keep: result = keep(df, label) writes df at once, so that nothing inside is needed later.
+    """
+    begin, kept = len(_paths), set()
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        out = materialize(df, label)
+        kept.add(_paths[-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _paths[begin:] if p not in kept]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            _paths.remove(path)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, however often body uses it."""
     return F.transform(F.array(value), body)[0]
@@ -74,3 +101,23 @@ def ranked(df: DataFrame, by: list[str], label: str, partitions: int | None = No
         run = f"coalesce(sum({weight}) over (partition by _part order by _at rows between unbounded preceding and 1 preceding), 0)"
         out = out.withColumn("before", F.expr(f"_before + {run}").cast("long")).drop("_before")
     return out.drop("_part", "_at", "_offset")
+
+
+#: Bits of the number of places in a bitmap of fixed size.
+SLOT_BITS = 23
+
+
+def slot_of(column) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(1 << SLOT_BITS))
+
+
+def slot_words(slots: DataFrame) -> DataFrame:
+    """word and bits of a bitmap with the given places (one column) set: 2**17 rows of 16 bytes at most."""
+    return slots.toDF("s").groupBy((F.col("s") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("bits"))
+
+
+def marked(rows: DataFrame, key: str, words: DataFrame) -> DataFrame:
+    """rows with `marked`, whether the key's place is set in the bitmap, which is broadcast: its size is bounded."""
+    out = rows.withColumn("_slot", slot_of(key)).withColumn("_word", (F.col("_slot") / 64).cast("int"))
+    out = out.join(F.broadcast(words.toDF("_word", "_bits")), "_word", "left")
+    return out.withColumn("marked", F.coalesce(F.expr("getbit(_bits, cast(_slot % 64 as int)) = 1"), F.lit(False))).drop("_slot", "_word", "_bits")

@@ -202,7 +202,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
         return Lexicon({}, exceptions, (-4.0, 0.0, 0.0))
     toxic, clean = kinds[True], kinds[False]
     least = max(3, min(SUPPORT, toxic // 50))
-    rate = F.col("toxic") / toxic / (F.col("toxic") / toxic + F.col("clean") / clean)
+    rate = F.col("toxic") / toxic / (F.col("toxic") / toxic + (F.col("clean") + 1) / (clean + 1))  # as if one clean document more had it
     rows = _lexicon_rows(chosen).withColumn("sure", rate >= PRECISION).filter((F.col("toxic") >= least) & (rate >= CANDIDATE))
     rows = rows.orderBy(F.desc("sure"), F.desc("toxic"), "clean", "entry").limit(ENTRIES).collect()
     sure, unsure = (choose_entries([r[:3] for r in rows if r["sure"] == kind], toxic, clean) for kind in (True, False))
@@ -251,8 +251,8 @@ def learn_exceptions(chosen: DataFrame, lexicon: Lexicon, least: int = 5) -> tup
     return tuple(r["phrase"] for r in rows)
 
 
-def score(docs: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
-    """The `keep` columns of docs with toxicity (0 to 1).
+def score(docs: DataFrame, lexicon: Lexicon, *keep: str, name: str = "toxicity") -> DataFrame:
+    """The `keep` columns of docs with toxicity (0 to 1), under a name that none of them has.
 
     A null text is an empty one, which has the score of no match. Repeated rows score alike. Texts are whole. Columns
     that aren't kept are not looked at. An empty table gives no rows.
@@ -265,11 +265,11 @@ def score(docs: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
         for part, texts in arrow.slices(batches):
             x = np.array([features(fold(t), automaton) for t in texts])
             y = 1 / (1 + np.exp(-np.clip(c + x @ np.array([a, b]), -500, 500)))
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(y)], [*keep, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(y)], [*keep, name])
 
     extra = [] if "text" in keep else ["text"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, *extra).mapInArrow(run, f"{fields}, toxicity double")
+    return docs.select(*keep, *extra).mapInArrow(run, f"{fields}, `{name}` double")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
