@@ -116,7 +116,7 @@ class Merges:
             longest[a] = max(longest.get(a, 0), len(self.token_bytes[a]) + most)
         return max(longest.values(), default=0)
 
-    def merge_words(self, words: list[bytes]) -> tuple[list[int], list[int]]:
+    def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, list[int]]:
         """The token ids of all words, one after another, and where each word's begin (and the last's end)."""
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         ids = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
@@ -148,7 +148,7 @@ class Merges:
         ids, word = np.concatenate(done_ids), np.concatenate(done_words)
         order = np.argsort(word, kind="stable")
         ends = np.cumsum(np.bincount(word, minlength=len(words)))
-        return ids[order].tolist(), [0, *ends.tolist()]
+        return ids[order], [0, *ends.tolist()]
 
 
 class Run:
@@ -164,7 +164,7 @@ class Run:
             self.buffer += piece[k : k + self.window]
             if len(self.buffer) > self.window:
                 settled, taken = len(self.buffer) - self.merges.lookahead, 0
-                for i in self.merges.merge_words([self.buffer])[0]:
+                for i in self.merges.merge_words([self.buffer])[0].tolist():
                     if taken + len(self.merges.token_bytes[i]) > settled:
                         break
                     taken += len(self.merges.token_bytes[i])
@@ -173,45 +173,57 @@ class Run:
         return out
 
     def finish(self) -> list[int]:
-        out, self.buffer = self.merges.merge_words([self.buffer])[0] if self.buffer else [], b""
+        out, self.buffer = self.merges.merge_words([self.buffer])[0].tolist() if self.buffer else [], b""
         return out
 
 
+def as_tuples(ids: np.ndarray, ends: list[int]) -> list[tuple[int, ...]]:
+    each = ids.tolist()
+    return [tuple(each[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def as_bytes(kind: np.dtype):
+    """Packs words' ids as bytes of a type of number."""
+
+    def pack(ids: np.ndarray, ends: list[int]) -> list[bytes]:
+        raw, size = ids.astype(kind).tobytes(), kind.itemsize
+        return [raw[a * size : b * size] for a, b in zip(ends, ends[1:], strict=False)]
+
+    return pack
+
+
 class Encoder:
     """Texts to token ids, with the tokens of words seen before kept up to a bound.
 
-    pack makes of a word's ids (a tuple) what is kept and handed out for each word; merge gives the ids of a list of
-    words, and is the merge list's own unless another is given.
+    pack makes of words' ids, one after another, and their ends what is kept and handed out for each word.
     """
 
     #: Words kept, bytes of the longest word kept, characters handled at once.
-    KEPT, LONG, PART = 600_000, 256, 1 << 20
+    KEPT, LONG, PART = 1_000_000, 256, 1 << 20
 
-    def __init__(self, merges: Merges, pack=tuple, merge=None):
-        self.merges, self.known, self.pack, self.merge = merges, {}, pack, merge or merges.merge_words
-        self.special = {s: pack((i,)) for s, i in merges.special.items()}
-        self.ints = list(range(merges.size))  # one object for each id
+    def __init__(self, merges: Merges, pack=as_tuples):
+        self.merges, self.known, self.pack = merges, {}, pack
+        self.special = {s: pack(np.array([i], dtype=np.int32), [0, 1])[0] for s, i in merges.special.items()}
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[str]) -> dict:
+        """The packed ids of words; those that aren't too long are known from now on."""
         if len(self.known) + len(words) > self.KEPT:
             self.known.clear()
-        new, raw = [], []
-        for w in words - self.known.keys():
-            if len(b := w.encode("utf-8", "surrogatepass")) <= self.LONG:
-                new.append(w)
-                raw.append(b)
-        ids, ends = self.merge(raw)
-        ids = list(map(self.ints.__getitem__, ids))
-        self.known.update(zip(new, (self.pack(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)), strict=True))
-
-    def _long(self, word: str):
+        raw = {w: w.encode("utf-8", "surrogatepass") for w in words}
+        long = {w: self._long(b) for w, b in raw.items() if len(b) > self.LONG}
+        for w in long:
+            del raw[w]
+        new = dict(zip(raw, self.pack(*self.merges.merge_words(list(raw.values()))), strict=True))
+        self.known.update(new)
+        return new | long if long else new
+
+    def _long(self, word: bytes):
         run = Run(self.merges)
-        return self.pack((*run.feed(word.encode("utf-8", "surrogatepass")), *run.finish()))
+        ids = [*run.feed(word), *run.finish()]
+        return self.pack(np.array(ids, dtype=np.int32), [0, len(ids)])[0]
 
     def encode_word(self, word: str):
-        if word not in self.known:
-            self.learn({word})
-        return self.known[word] if word in self.known else self._long(word)
+        return self.known.get(word) or self.learn({word})[word]
 
     def parts(self, text: str):
         """Stretches of the text that can be split into words each by itself: they end where a space follows a character that is none."""
@@ -231,13 +243,22 @@ class Encoder:
             pieces = self.merges.special_pattern.split(text) if any(s in text for s in self.merges.special) else [text]
             for j, piece in enumerate(pieces):
                 split += [(k, piece)] if j % 2 else [(k, split_words(part)) for part in self.parts(piece)]
-        words = set().union(*(s for _, s in split if isinstance(s, list)))
-        self.learn(words)
-        long = {w: self._long(w) for w in words if len(w) > self.LONG // 4 and w not in self.known}
-        find = (lambda w: self.known[w] if w in self.known else long[w]) if long else self.known.__getitem__
         out: list[list] = [[] for _ in texts]
+        holes: list[tuple[int, int, str]] = []
+        get = self.known.get
         for k, s in split:
-            out[k].extend(map(find, s) if isinstance(s, list) else (self.special[s],))
+            mine = out[k]
+            if isinstance(s, str):
+                mine.append(self.special[s])
+                continue
+            found = list(map(get, s))
+            if None in found:
+                begin = len(mine)
+                holes += [(k, begin + j, s[j]) for j, x in enumerate(found) if x is None]
+            mine += found
+        made = self.learn({w for _, _, w in holes}) if holes else {}
+        for k, j, w in holes:
+            out[k][j] = made[w]
         return out
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -26,8 +27,9 @@ from . import arrow, bpe
 from .bpe_codec import described, merges_of
 from .shared import documents, new_path, ranked
 
-LEAST, MOST, MASK_BITS = 64, 4096, 8
+LEAST, MOST, MASK_BITS = 64, 4096, 9
 FANOUT = 4096
+PACKED = {"compression": "zstd"}
 POLYNOMIAL = 0xEDB88320  # of CRC-32, reflected
 
 
@@ -78,35 +80,54 @@ def merkle(names: list[bytes]) -> bytes:
     return names[0]
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of polynomials (the highest bit is x to the 0) modulo the CRC's."""
+    out, a = np.zeros_like(a), a.copy()
+    for bit in range(31, -1, -1):
+        out ^= np.where((b >> np.uint32(bit)) & np.uint32(1), a, np.uint32(0))
+        a = (a >> np.uint32(1)) ^ np.where(a & np.uint32(1), np.uint32(POLYNOMIAL), np.uint32(0))
+    return out
+
+
+@lru_cache(1)
+def _shifts() -> list[list[np.ndarray]]:
+    """For each power of two, what that many bytes behind it make of each byte of a CRC."""
+    power, out = np.array([1 << 23], dtype=np.uint32), []  # x to the 8
+    for _ in range(48):
+        every = [np.arange(256, dtype=np.uint32) << np.uint32(8 * k) for k in range(4)]
+        out.append([_times(e, np.broadcast_to(power, 256)) for e in every])
+        power = _times(power, power)
+    return out
+
+
 def shift_crc(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
-    """CRC-32s as they count when so many bytes follow: times x to the power of 8 * n_bytes modulo the polynomial."""
-
-    def times(a, b):
-        out, a = np.zeros_like(a), a.copy()
-        for bit in range(31, -1, -1):
-            out ^= np.where((b >> np.uint64(bit)) & np.uint64(1), a, np.uint64(0))
-            a = (a >> np.uint64(1)) ^ np.where(a & np.uint64(1), np.uint64(POLYNOMIAL), np.uint64(0))
-        return out
-
-    out, rest = crc.astype(np.uint64), n_bytes.astype(np.uint64)
-    power = np.array([1 << 23], dtype=np.uint64)  # x to the 8, the highest bit being x to the 0
-    while rest.any():
-        odd = np.flatnonzero(rest & np.uint64(1))
-        out[odd] = times(out[odd], np.broadcast_to(power, len(odd)))
-        power, rest = times(power, power), rest >> np.uint64(1)
+    """CRC-32s as they count when so many bytes follow."""
+    out, rest = crc.astype(np.uint32), n_bytes.astype(np.int64)
+    for tables in _shifts():
+        if not rest.any():
+            break
+        odd = np.flatnonzero(rest & 1)
+        x = out[odd]
+        out[odd] = tables[0][x & 255] ^ tables[1][(x >> 8) & 255] ^ tables[2][(x >> 16) & 255] ^ tables[3][x >> 24]
+        rest >>= 1
     return out.astype(np.int64)
 
 
 def chunked(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, keys, sizes, root and payloads of every document, end_id after its ids."""
+    """doc_id, n_tokens, keys, sizes, root and payloads of every document, end_id after its ids.
+
+    A task gives a chunk's bytes where it has the chunk first, and null after that; within a document with the chunk
+    twice, both times. It holds the names that it has given, in proportion to the part of the input that it reads.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(described(path))
 
     def run(batches):
         merges = merges_of(shared.value)
         kind = np.dtype("<u2" if max(merges.size, end_id + 1) <= 1 << 16 else "<u4")
-        encoder = arrow.once("store", lambda: bpe.Encoder(merges, pack=lambda ids: np.array(ids, dtype=kind).tobytes()))
+        encoder = arrow.once("store", lambda: bpe.Encoder(merges, bpe.as_bytes(kind)))
         gear = arrow.once("gear", lambda: _gear(max(merges.size, end_id + 1)))
         end = np.array([end_id], dtype=kind).tobytes()
+        given: set[bytes] = set()
         for part, texts in arrow.slices(batches):
             streams = [b"".join(words) + end for words in encoder.encode(texts)]
             lengths = [len(s) // kind.itemsize for s in streams]
@@ -120,7 +141,8 @@ def chunked(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 names = [hashlib.sha256(wide[a:b]).digest() for a, b in spans]
                 keys.append(names)
                 sizes.append([b - a for a, b in spans])
-                payloads.append([ids[a:b].tobytes() for a, b in spans])
+                payloads.append([None if name in given else ids[a:b].tobytes() for name, (a, b) in zip(names, spans, strict=True)])
+                given.update(names)
                 roots.append(merkle(names))
                 begin += n
             columns = [part.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(keys, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(roots, pa.binary()), pa.array(payloads, pa.list_(pa.binary()))]
@@ -141,13 +163,15 @@ class TokenStore:
         """Encodes docs and writes the store. A null text has the end id alone; repeated rows are documents of their own.
 
         Texts are encoded once, into a staging table of which later steps read the columns they need. Copies of a
-        chunk meet after each task has dropped its own, so a chunk that a third of all documents have is no hot key.
+        chunk meet after each task has left out its own, so a chunk that a third of all documents have is no hot key.
         """
         staging = f"{self.path}/staging"
-        chunked(docs, tokenizer, end_id).write.option("compression", "zstd").parquet(staging)
+        chunked(docs, tokenizer, end_id).write.options(**PACKED).parquet(staging)
         made = self.table("staging")
-        pieces = made.select(F.explode(F.arrays_zip("keys", "sizes", "payloads")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.sizes").alias("n"), F.col("x.payloads").alias("payload"))
-        pieces.groupBy("key").agg(F.first("n").alias("n"), F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{self.path}/chunks")
+        pieces = made.select(F.explode(F.filter(F.arrays_zip("keys", "sizes", "payloads"), lambda x: x["payloads"].isNotNull())).alias("x"))
+        pieces = pieces.select(F.col("x.keys").alias("key"), F.col("x.sizes").alias("n"), F.col("x.payloads").alias("payload"))
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        pieces.repartition(n, "key").dropDuplicates(["key"]).write.options(**PACKED).parquet(f"{self.path}/chunks")
         recipes = ranked(made.drop("payloads"), ["doc_id"], "recipes", weight="n_tokens")
         recipes.select("rank", "doc_id", F.col("before").alias("start"), "n_tokens", "keys", "sizes", "root").write.parquet(f"{self.path}/recipes")
         self._manifest()

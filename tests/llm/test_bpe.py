@@ -80,4 +80,4 @@ def test_words_are_forgotten(encoder, monkeypatch):
     monkeypatch.setattr(bpe.Encoder, "KEPT", 5)
     small = bpe.Encoder(encoder.merges)
     for text in ["a b c d", "e f g h i j k l", "a b c d"]:
-        assert small.encode([text]) == encoder.encode([text])
+        assert flat(small.encode([text])[0]) == flat(encoder.encode([text])[0])
