@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .bpe_codec import op10_bpe
 from .curve_neighbours import op6_curve_neighbours
 from .jaccard_join import op9_jaccard_join
@@ -26,4 +27,7 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_secret_scans": oracles.SECRET_SCANS,
+    "op9_jaccard_join": oracles.JACCARD_JOIN,
+}
