@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -337,7 +338,7 @@ _has = lambda test: f"key IN (SELECT key FROM attributes WHERE {test})"  # noqa:
 entity_query("q_all", "$all", "true")
 entity_query("q_star", "*", "true")
 entity_query("q_content_type", '$contentType = "application/json"', "\"contentType\" = 'application/json'")
-OWNER = "f46fbe0de32d6a6c3a1ff0a5f7d4cf7e4e51d0b5"
+OWNER = hashlib.sha256(b"src3").hexdigest()[:40]
 entity_query("q_owner", f"$owner = 0x{OWNER}", f"owner = '{OWNER}'")
 entity_query("q_expiration_lt", "$expiration < 1500", '"expiresAt" < 1500')
 entity_query("q_attr_string", 'lang = "en"', _has("name = 'lang' AND \"valueType\" = 'string' AND value = 'en'"))
@@ -361,8 +362,6 @@ def q_at_block(spark, sf_dir):
 
 @query(f"WITH {ENTITIES_SQL} SELECT key, owner FROM docs WHERE key = sha256('doc:7')")
 def q_key(spark, sf_dir):
-    import hashlib
-
     return api.query(document_entities(spark, sf_dir), f"$key = 0x{hashlib.sha256(b'doc:7').hexdigest()}", api.Options(fields=("key", "owner")))
 
 

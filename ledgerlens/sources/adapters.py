@@ -66,16 +66,16 @@ def oplog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPLOG_SQL = f"""
 e AS (
-  SELECT event_id, user_id AS sender, floor(value)::BIGINT AS amount, epoch_us(ts) - {GENESIS_TIME}000000 AS at,
+  SELECT event_id, user_id AS sender, floor(value)::BIGINT AS amount, epoch_us(ts) - {GENESIS_TIME}000000 AS at_us,
     CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'update' WHEN 'view' THEN 'extend' WHEN 'click' THEN 'transfer' WHEN 'error' THEN 'delete' END AS op
   FROM events),
-e1 AS (SELECT *, at // {BLOCK_SECONDS}000000 AS block, sum(CASE WHEN op = 'create' THEN 1 ELSE 0 END) OVER (PARTITION BY sender ORDER BY at, event_id)::BIGINT AS generation FROM e),
+e1 AS (SELECT *, at_us // {BLOCK_SECONDS}000000 AS block, sum(CASE WHEN op = 'create' THEN 1 ELSE 0 END) OVER (PARTITION BY sender ORDER BY at_us, event_id)::BIGINT AS generation FROM e),
 e2 AS (
-  SELECT *, op = 'create' OR (generation > 0 AND coalesce(sum(CASE WHEN op = 'delete' THEN 1 ELSE 0 END) OVER (PARTITION BY sender, generation ORDER BY at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0) AS valid,
-    min((at, event_id)) OVER (PARTITION BY block, sender) AS first_at
+  SELECT *, op = 'create' OR (generation > 0 AND coalesce(sum(CASE WHEN op = 'delete' THEN 1 ELSE 0 END) OVER (PARTITION BY sender, generation ORDER BY at_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0) AS valid,
+    min((at_us, event_id)) OVER (PARTITION BY block, sender) AS first_at
   FROM e1),
 e3 AS (
-  SELECT *, dense_rank() OVER (PARTITION BY block ORDER BY first_at) - 1 AS tx_index, row_number() OVER (PARTITION BY block, sender ORDER BY at, event_id) - 1 AS op_index FROM e2),
+  SELECT *, dense_rank() OVER (PARTITION BY block ORDER BY first_at) - 1 AS tx_index, row_number() OVER (PARTITION BY block, sender ORDER BY at_us, event_id) - 1 AS op_index FROM e2),
 oplog AS (
   SELECT event_id, block, tx_index, op_index, block * 1048576 + tx_index * 1024 + op_index AS position, sender, op, sha256(sender || ':' || (generation - 1)) AS entity_key, generation, amount,
     CASE WHEN op IN ('create', 'extend') THEN block + amount END AS expires_at,
