@@ -68,3 +68,30 @@ def status(ops: DataFrame) -> DataFrame:
     """kind, sent, confirmed and failed of the kinds that were sent, in the order of reports. ops: op, confirmed."""
     order = F.element_at(F.create_map(*[F.lit(x) for k, n in enumerate(codecs.OPERATIONS) for x in (n, k)]), F.col("op"))
     return ops.groupBy("op").agg(F.count("*").alias("sent"), F.count_if("confirmed").alias("confirmed"), F.count_if(~F.col("confirmed")).alias("failed")).withColumn("place", order)
+
+
+def tracked(ops: DataFrame, confirmed: Column) -> DataFrame:
+    """What a load generator knows of its entities after all batches: those that failed change nothing.
+
+    ops: position, op, entity, signer, receiver, expires_at. A create makes an entity of its signer, an extend moves its
+    expiry, a transfer gives it away, a delete or an expire takes it. One row for each entity: owner, expires_at, alive.
+    """
+    good = ops.filter(confirmed)
+    last = lambda value, *kinds: F.max_by(value, F.when(F.col("op").isin(*kinds), F.col("position")))
+    good = good.withColumn("holder", F.when(F.col("op") == "create", F.col("signer")).otherwise(F.col("receiver")))
+    return good.groupBy("entity").agg(last("holder", "create", "transfer").alias("owner"), last("expires_at", "create", "extend").alias("expires_at"), (~F.bool_or(F.col("op").isin("delete", "expire"))).alias("alive"))
+
+
+def promoted(entities: DataFrame, block: int, pending: Column) -> DataFrame:
+    """entities with queued: alive ones past their expiry that no batch in flight names, to be expired first."""
+    return entities.withColumn("queued", F.col("alive") & (F.col("expires_at") <= block) & ~pending)
+
+
+def chosen_kind(queued: Column, point: Column, weights=WEIGHTS) -> Column:
+    """An expire if something is queued, else what the weights give."""
+    return F.when(queued > 0, F.lit("expire")).otherwise(picked(point, weights))
+
+
+def spam(spark: SparkSession, count: int, first_nonce: int, size: int = 256) -> DataFrame:
+    """So many creates of one size, their nonces in a row."""
+    return spark.range(count).select((F.col("id") + first_nonce).alias("nonce"), F.lit("create").alias("op"), F.lit(size).alias("size"))

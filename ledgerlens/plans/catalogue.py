@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs, digest
-from ..operators import chain, decode, generate, state
+from ..operators import chain, decode, generate, report, state
 from ..sources import adapters, batch
 from ..sources.adapters import ENTITIES_SQL, OPLOG_SQL, document_entities, oplog, table
 from ..sources.paths import shared_path, written
@@ -587,3 +587,64 @@ def stream_commit(spark, sf_dir):
 
     runner.commit_segments(spark, source, ops.schema, store, headers_of, shared_path(spark, "stream-checkpoint"))
     return state.latest(store.ops())
+
+
+# --- Sinks and the load generator's state
+
+
+@query(
+    f"""WITH {OPLOG_SQL} SELECT event_id, upper(op) || ' key=' || entity_key || ' owner=' || sender || CASE op WHEN 'create' THEN ' expires=' || expires_at || ' payload=' || amount || ' hash=' || entity_hash || ' attributes=0'
+      WHEN 'update' THEN ' payload=' || amount || ' hash=' || entity_hash WHEN 'extend' THEN ' expires=' || expires_at ELSE '' END AS line FROM oplog WHERE valid"""
+)
+def log_projection(spark, sf_dir):
+    rows = valid_ops(spark, sf_dir)
+    line = report.log_line(*[F.col(c) for c in ("op", "entity_key", "sender", "expires_at", "entity_hash", "amount")], F.lit(0))
+    return rows.select("event_id", line.alias("line"))
+
+
+@query(f"WITH {OPLOG_SQL} SELECT block, count(DISTINCT tx_index) AS tx_count, count(*) AS op_count FROM oplog WHERE valid GROUP BY block")
+def log_blocks(spark, sf_dir):
+    return report.block_lines(valid_ops(spark, sf_dir))
+
+
+@query(f"WITH {ENTITIES_SQL} SELECT count(*) AS count, {AT_BLOCK}::BIGINT AS block FROM docs WHERE \"contentType\" = 'text/plain'")
+def query_report(spark, sf_dir):
+    return report.result_report(api.query(document_entities(spark, sf_dir), '$contentType = "text/plain"'), AT_BLOCK)
+
+
+@query(f"WITH {STATE_SQL} SELECT (sum(('0x' || sha256(entity_key || '|' || owner || '|' || coalesce(expires_at::VARCHAR, '') || '|' || alive)[1:15])::BIGINT::HUGEINT) % 1152921504606846976)::BIGINT AS digest FROM state")
+def state_digest(spark, sf_dir):
+    return report.order_free_digest(state.latest(valid_ops(spark, sf_dir)), "entity_key", "owner", "expires_at", "alive")
+
+
+@query("SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'ok' END AS result, CASE event_id % 3 WHEN 1 THEN '-32001: parent' WHEN 2 THEN 'no result' END AS error FROM events")
+def response_unwrap(spark, sf_dir):
+    text = F.when(F.col("event_id") % 3 == 0, F.lit(',"result":"ok"')).when(F.col("event_id") % 3 == 1, F.lit(',"result":"ok","error":{"code":-32001,"message":"parent"}')).otherwise(F.lit(""))
+    return report.unwrapped(table(spark, sf_dir, "events").select(F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), text, F.lit("}")).alias("value")))
+
+
+#: Every so many-th event's transaction fails, and is in flight.
+FAILED, PENDING = 5, 11
+
+
+@query(
+    f"""WITH {OPLOG_SQL}, good AS (SELECT *, CASE WHEN op = 'create' THEN sender ELSE new_owner END AS holder FROM oplog WHERE valid AND event_id % {FAILED} <> 0),
+    t AS (SELECT entity_key AS entity, arg_max(holder, position) FILTER (op IN ('create', 'transfer')) AS owner, arg_max(expires_at, position) FILTER (op IN ('create', 'extend')) AS expires_at, NOT bool_or(op = 'delete') AS alive FROM good GROUP BY entity_key)
+    SELECT *, alive AND expires_at <= {AT_BLOCK} AND coalesce(owner % {PENDING} <> 0, true) AS queued FROM t"""
+)
+def tracked_entities(spark, sf_dir):
+    """Entities as a load generator sees them once failed transactions are left out, with what it would expire next."""
+    ops = valid_ops(spark, sf_dir).withColumnsRenamed({"entity_key": "entity", "sender": "signer", "new_owner": "receiver"})
+    rows = generate.tracked(ops, F.col("event_id") % FAILED != 0)
+    return generate.promoted(rows, AT_BLOCK, F.coalesce(F.col("owner") % PENDING == 0, F.lit(False)))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'expire' WHEN event_id % 11 < 4 THEN 'create' WHEN event_id % 11 < 7 THEN 'update' WHEN event_id % 11 < 9 THEN 'extend' WHEN event_id % 11 < 10 THEN 'transfer' ELSE 'delete' END AS op FROM events")
+def kind_choice(spark, sf_dir):
+    queued = F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
+    return table(spark, sf_dir, "events").select("event_id", generate.chosen_kind(queued, F.col("event_id") % 11).alias("op"))
+
+
+@query("SELECT 100 + unnest(range(0, 500)) AS nonce, 'create' AS op, 256 AS size")
+def spam_creates(spark, sf_dir):
+    return generate.spam(spark, 500, 100)
