@@ -42,14 +42,19 @@ def rolling(ops: DataFrame, seed: Column) -> DataFrame:
     return ops.join(made, "position")
 
 
-def broken_links(ops: DataFrame, seed: Column) -> DataFrame:
-    """Operations whose claimed hash isn't the digest of the one before; the first of a block follows the block's seed.
+def checked_links(ops: DataFrame, seed: Column) -> DataFrame:
+    """ops with expected, the digest of the hash before; the first of a block follows the block's seed.
 
     Every row is checked by the row before it in its block, so blocks are checked side by side.
     """
     w = Window.partitionBy("block").orderBy("position")
     before = F.coalesce(F.lag("claimed").over(w), seed)
-    return ops.withColumn("expected", digest_hex(before, F.col("entity_key"), F.col("entity_hash"))).filter(F.col("expected") != F.col("claimed"))
+    return ops.withColumn("expected", digest_hex(before, F.col("entity_key"), F.col("entity_hash")))
+
+
+def broken_links(ops: DataFrame, seed: Column) -> DataFrame:
+    """Operations whose claimed hash isn't the digest of the one before."""
+    return checked_links(ops, seed).filter(F.col("expected") != F.col("claimed"))
 
 
 def headers(blocks: DataFrame, span: int = SPAN) -> DataFrame:

@@ -232,8 +232,8 @@ def parent_lookup(spark, sf_dir):
 
 @query(f"WITH {OPLOG_SQL} SELECT count(*) AS operations, 0::BIGINT AS broken FROM oplog WHERE valid")
 def chain_verify(spark, sf_dir):
-    ops = written(hashed_ops(spark, sf_dir), "hashed")
-    return ops.agg(F.count("*").alias("operations")).crossJoin(chain.broken_links(ops, _seed()).agg(F.count("*").alias("broken")))  # one row each
+    checked = chain.checked_links(hashed_ops(spark, sf_dir), _seed())
+    return checked.agg(F.count("*").alias("operations"), F.count_if(F.col("expected") != F.col("claimed")).alias("broken"))
 
 
 @query(
