@@ -2,13 +2,40 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-#: Characters of text handled at once.
-SLICE = 1 << 20
+#: Characters of text handled at once; rows with texts in an Arrow batch, unless the session has another number than Spark's own.
+SLICE, ROWS = 1 << 20, 500
+_SETTING, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def map_texts(rows: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow over rows with texts, in batches of a bounded number of rows: ten thousand long texts are too much for a task.
+
+    Memory that a Python worker has freed goes back to the system after each task, since workers live on.
+    """
+    spark = rows.sparkSession
+    if spark.conf.get(_SETTING) == _DEFAULT:
+        spark.conf.set(_SETTING, str(ROWS))
+
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return rows.mapInArrow(trimmed, schema)
+
+
+def trim() -> None:
+    with suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -199,15 +199,15 @@ class Encoder:
     """
 
     #: Words kept, bytes of the longest word kept, characters handled at once.
-    KEPT, LONG, PART = 1_000_000, 256, 1 << 20
+    KEPT, LONG, PART = 600_000, 256, 1 << 20
 
-    def __init__(self, merges: Merges, pack=as_tuples):
-        self.merges, self.known, self.pack = merges, {}, pack
+    def __init__(self, merges: Merges, pack=as_tuples, kept: int | None = None):
+        self.merges, self.known, self.pack, self.kept = merges, {}, pack, kept or self.KEPT
         self.special = {s: pack(np.array([i], dtype=np.int32), [0, 1])[0] for s, i in merges.special.items()}
 
     def learn(self, words: set[str]) -> dict:
         """The packed ids of words; those that aren't too long are known from now on."""
-        if len(self.known) + len(words) > self.KEPT:
+        if len(self.known) + len(words) > self.kept:
             self.known.clear()
         raw = {w: w.encode("utf-8", "surrogatepass") for w in words}
         long = {w: self._long(b) for w, b in raw.items() if len(b) > self.LONG}

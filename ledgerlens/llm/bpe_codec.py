@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from itertools import chain, islice
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import arrow, bpe
 from .shared import documents
 
-#: Ids that the decoder takes at once.
-BLOCK = 1 << 16
+#: Ids that the decoder takes at once; how ids are held.
+BLOCK, IDS = 1 << 16, np.dtype("<i4")
 
 
 def described(path: str) -> str:
@@ -26,18 +26,28 @@ def merges_of(text: str) -> bpe.Merges:
     return arrow.once(("merges", hash(text)), lambda: bpe.Merges(text))
 
 
+def encoder_of(text: str) -> bpe.Encoder:
+    """The worker's encoder; the ids of a word are kept as bytes."""
+    return arrow.once(("encoder", hash(text)), lambda: bpe.Encoder(merges_of(text), bpe.as_bytes(IDS)))
+
+
+def _id_lists(streams: list[bytes]) -> pa.ListArray:
+    offsets = np.cumsum([0, *(len(s) // IDS.itemsize for s in streams)])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(streams), dtype=IDS)))
+
+
 def encode(docs: DataFrame, path: str, *keep: str) -> DataFrame:
     """The `keep` columns of docs with token_ids, an array of int. A null or empty text has none."""
     shared = docs.sparkSession.sparkContext.broadcast(described(path))
 
     def run(batches):
-        encoder = arrow.once("ids", lambda: bpe.Encoder(merges_of(shared.value)))
+        encoder = encoder_of(shared.value)
         for part, texts in arrow.slices(batches):
-            ids = [list(chain.from_iterable(words)) for words in encoder.encode(texts)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32()))], [*keep, "token_ids"])
+            streams = [b"".join(words) for words in encoder.encode(texts)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _id_lists(streams)], [*keep, "token_ids"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, token_ids array<int>")
+    return arrow.map_texts(docs.select(*keep, "text"), run, f"{fields}, token_ids array<int>")
 
 
 def round_trip(docs: DataFrame, path: str, *keep: str, with_ids: bool = False) -> DataFrame:
@@ -50,24 +60,25 @@ def round_trip(docs: DataFrame, path: str, *keep: str, with_ids: bool = False) -
     shared = docs.sparkSession.sparkContext.broadcast(described(path))
 
     def run(batches):
-        merges = merges_of(shared.value)
-        encoder = arrow.once("trip", lambda: bpe.Encoder(merges))
-        names = arrow.once("names", lambda: list(map(str, range(merges.size))))
+        merges, encoder = merges_of(shared.value), encoder_of(shared.value)
+        names = arrow.once(("names", merges.size), lambda: list(map(str, range(merges.size))))
         for part, texts in arrow.slices(batches):
-            rows = []
-            for words in encoder.encode(texts):
-                ids = list(chain.from_iterable(words))
-                decoder, decoded = bpe.Decoder(merges), hashlib.sha256()
-                rest = iter(ids)
-                while block := list(islice(rest, BLOCK)):
+            streams, rows = [b"".join(words) for words in encoder.encode(texts)], []
+            for stream in streams:
+                ids = np.frombuffer(stream, dtype=IDS)
+                decoder, named, decoded = bpe.Decoder(merges), hashlib.sha256(), hashlib.sha256()
+                for k in range(0, len(ids), BLOCK):
+                    block = ids[k : k + BLOCK].tolist()
+                    named.update((b"," if k else b"") + ",".join(map(names.__getitem__, block)).encode())
                     decoded.update(decoder.feed(block).encode())
                 decoded.update(decoder.finish().encode())
-                rows.append((len(ids), hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), decoded.hexdigest(), *([ids] if with_ids else [])))
-            made = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())), strict=False)]
+                rows.append((len(ids), named.hexdigest(), decoded.hexdigest()))
+            made = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+            made += [_id_lists(streams)] if with_ids else []
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], [*keep, "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"][: len(keep) + len(made)])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids)
+    return arrow.map_texts(docs.select(*keep, "text"), run, f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

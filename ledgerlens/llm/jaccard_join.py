@@ -74,7 +74,7 @@ def sized(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "signature", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cls long, signature binary, prefix array<long>")
+    return arrow.map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, n long, cls long, signature binary, prefix array<long>")
 
 
 def frequent(prefixes: DataFrame) -> np.ndarray:
@@ -107,7 +107,7 @@ def prefix_rows(docs: DataFrame, late: np.ndarray) -> DataFrame:
             owner = owner[keep]
             yield pa.RecordBatch.from_arrays([pa.array(prefix[keep].view(np.int64)), pa.array(cls[owner]), pa.array(counts[owner].astype(np.int32))], ["shingle", "cls", "n"])
 
-    return docs.select("text").mapInArrow(run, "shingle long, cls long, n int")
+    return arrow.map_texts(docs.select("text"), run, "shingle long, cls long, n int")
 
 
 def with_end(batches):
@@ -190,7 +190,7 @@ def tree_links(rows: DataFrame, keys: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys, F.desc("asks"), "cls").mapInArrow(run, "a long, b long")
+    return arrow.map_texts(rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys, F.desc("asks"), "cls"), run, "a long, b long")
 
 
 def with_texts(members: DataFrame, docs: DataFrame) -> DataFrame:

@@ -176,7 +176,7 @@ def learn(rows: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS
                         at = np.flatnonzero(total)
                         yield pa.RecordBatch.from_arrays([pa.array([index[g]] * len(at), pa.int32()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["g", "piece", "n"])
 
-        found = chosen.mapInArrow(count, "g int, piece int, n double").groupBy("g", "piece").agg(F.sum("n").alias("n")).toPandas()
+        found = arrow.map_texts(chosen, count, "g int, piece int, n double").groupBy("g", "piece").agg(F.sum("n").alias("n")).toPandas()
         counts = np.full(p.shape, ADDED)
         np.add.at(counts, (found["piece"].to_numpy(), found["g"].to_numpy()), found["n"].to_numpy())
         p = counts / counts.sum(0)
@@ -206,7 +206,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             names = [mine.languages[b] if s else "und" for b, s in zip(best, some, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(some, sure, 0.0))], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return arrow.map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

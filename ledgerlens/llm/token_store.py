@@ -29,6 +29,8 @@ from .shared import documents, new_path, ranked
 
 LEAST, MOST, MASK_BITS = 64, 4096, 9
 FANOUT = 4096
+#: Words whose ids an encoder keeps.
+KEPT = 1_000_000
 PACKED = {"compression": "zstd"}
 POLYNOMIAL = 0xEDB88320  # of CRC-32, reflected
 
@@ -124,8 +126,9 @@ def chunked(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches):
         merges = merges_of(shared.value)
         kind = np.dtype("<u2" if max(merges.size, end_id + 1) <= 1 << 16 else "<u4")
-        encoder = arrow.once("store", lambda: bpe.Encoder(merges, bpe.as_bytes(kind)))
-        gear = arrow.once("gear", lambda: _gear(max(merges.size, end_id + 1)))
+        encoder = arrow.once(("store", hash(shared.value), kind.itemsize), lambda: bpe.Encoder(merges, bpe.as_bytes(kind), KEPT))
+        n = max(merges.size, end_id + 1)
+        gear = arrow.once(("gear", n), lambda: _gear(n))
         end = np.array([end_id], dtype=kind).tobytes()
         given: set[bytes] = set()
         for part, texts in arrow.slices(batches):
@@ -149,7 +152,7 @@ def chunked(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "keys", "sizes", "root", "payloads"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, keys array<binary>, sizes array<int>, root binary, payloads array<binary>")
+    return arrow.map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, keys array<binary>, sizes array<int>, root binary, payloads array<binary>")
 
 
 class TokenStore:

@@ -125,11 +125,11 @@ def _lexicon_rows(chosen: DataFrame) -> DataFrame:
                     found = {w[:k] for w in set(WORDS.findall(fold(text))) for k in range(SHORTEST, min(LONGEST, len(w)) + 1)}
                     for e in found:
                         counts.setdefault(e, [0, 0])[0 if toxic else 1] += 1
-                if len(counts) > 500_000:
+                if len(counts) > 150_000:
                     yield out()
         yield out()
 
-    return chosen.mapInArrow(run, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return arrow.map_texts(chosen, run, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _matched_rows(chosen: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -146,7 +146,7 @@ def _matched_rows(chosen: DataFrame, lexicon: Lexicon) -> DataFrame:
                     counts.update({(folded[a:b], toxic) for a, b, _ in matches(folded, automaton)})
                 yield _by_kind("entry", counts)
 
-    return chosen.mapInArrow(run, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return arrow.map_texts(chosen, run, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _by_kind(name: str, counts: Counter) -> pa.RecordBatch:
@@ -220,7 +220,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
                 x = [features(fold(t), automaton) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([v[0] for v in x]), pa.array([v[1] for v in x])], ["toxic", "a", "b"])
 
-    got = chosen.mapInArrow(run, "toxic boolean, a double, b double").toPandas()
+    got = arrow.map_texts(chosen, run, "toxic boolean, a double, b double").toPandas()
     lexicon.curve = fit_curve(got[["a", "b"]].to_numpy(), got["toxic"].to_numpy(dtype=float))
     return lexicon
 
@@ -246,7 +246,7 @@ def learn_exceptions(chosen: DataFrame, lexicon: Lexicon, least: int = 5) -> tup
                     counts.update((f, toxic) for f in found)
                 yield _by_kind("phrase", counts)
 
-    summed = chosen.mapInArrow(run, "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    summed = arrow.map_texts(chosen, run, "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     rows = summed.filter((F.col("clean") >= least) & (F.col("toxic") == 0)).orderBy(F.desc("clean"), "phrase").limit(ENTRIES).collect()
     return tuple(r["phrase"] for r in rows)
 
@@ -269,7 +269,7 @@ def score(docs: DataFrame, lexicon: Lexicon, *keep: str, name: str = "toxicity")
 
     extra = [] if "text" in keep else ["text"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, *extra).mapInArrow(run, f"{fields}, `{name}` double")
+    return arrow.map_texts(docs.select(*keep, *extra), run, f"{fields}, `{name}` double")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
