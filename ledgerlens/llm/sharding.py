@@ -56,12 +56,10 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "lang", "source")
-    bounds = docs.select(F.min("doc_id").cast("double").alias("_low"), F.max("doc_id").cast("double").alias("_high"))
-    rows = rows.crossJoin(F.broadcast(bounds))  # one row
-    rows = rows.withColumn("_at", range_cell(F.col("doc_id"), F.col("_low"), F.col("_high"))).drop("_low", "_high")
-    rows = rows.withColumnRenamed("_at", "doc_cell")
-    cells = [category_cell(F.col("lang")), category_cell(F.col("source")), scale_cell(F.col("size") / 64), F.col("doc_cell")]
-    return curve_shards(rows, cells, ["size", "text_crc32", "doc_id"], shards).drop("doc_cell")
+    low, high = docs.agg(F.min("doc_id").cast("double"), F.max("doc_id").cast("double")).first()
+    place = range_cell(F.col("doc_id"), F.lit(low).cast("double"), F.lit(high).cast("double"))
+    cells = [category_cell(F.col("lang")), category_cell(F.col("source")), scale_cell(F.col("size") / 64), place]
+    return curve_shards(rows, cells, ["size", "text_crc32", "doc_id"], shards)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
