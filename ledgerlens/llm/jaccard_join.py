@@ -60,7 +60,7 @@ def _prefixes(shingles: np.ndarray, counts: np.ndarray, late: np.ndarray | None)
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, n, cls (null for an empty set), signature and prefix (by hash alone) of every document."""
+    """doc_id, mark (the text's hash), n, cls (null for an empty set), signature and prefix (by hash alone) of every document."""
 
     def run(batches):
         for part, texts in arrow.slices(batches):
@@ -70,11 +70,11 @@ def sized(docs: DataFrame) -> DataFrame:
             ends = np.cumsum(counts)
             marks = [signature_tree.bitmap(shingles[e - n : e], signature_tree.bits_for(n)).tobytes() if n else None for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
             offsets = pa.array(np.r_[0, np.cumsum(length)].astype(np.int32))
-            columns = [part.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(cls, mask=counts == 0), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(prefix.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "signature", "prefix"])
+            columns = [part.column("doc_id"), part.column("mark"), pa.array(counts.astype(np.int64)), pa.array(cls, mask=counts == 0), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(prefix.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n", "cls", "signature", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow.map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, n long, cls long, signature binary, prefix array<long>")
+    return arrow.map_texts(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")), run, f"doc_id {kind}, mark long, n long, cls long, signature binary, prefix array<long>")
 
 
 def frequent(prefixes: DataFrame) -> np.ndarray:
@@ -194,12 +194,13 @@ def tree_links(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_texts(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """members (cls, doc: an id of a document with that class) with that document's text.
+    """members (cls, doc and mark: id and hash of the text of a document with that class) with that document's text.
 
-    A bitmap of fixed size over hashed ids, broadcast, keeps texts of other documents from being moved.
+    A bitmap of fixed size over hashed texts, broadcast, keeps most texts of other documents from being moved.
     """
-    near = marked(docs.select("doc_id", "text"), "doc_id", slot_words(members.select(slot_of("doc")))).filter("marked").drop("marked")
-    return near.join(members, near.doc_id.eqNullSafe(members.doc)).drop("doc_id")
+    near = docs.select("doc_id", "text", F.xxhash64("text").alias("_mark"))
+    near = marked(near, "_mark", slot_words(members.select(slot_of("mark")))).filter("marked").drop("marked")
+    return near.join(members, near.doc_id.eqNullSafe(members.doc) & (near["_mark"] == members.mark)).drop("doc_id", "_mark", "mark")
 
 
 def cluster_links(members: DataFrame, block: int) -> DataFrame:
@@ -250,17 +251,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def _components(docs: DataFrame) -> DataFrame:
     rows = materialize(sized(docs), "sized")
     late = frequent(rows.select("prefix"))
-    classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"))
+    # copies meet here once, after each task has summed its own; later joins have a row for each class
+    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark"))
+    classes = rows.filter("n > 0").groupBy("cls").agg(one.alias("one"), F.max("n").alias("n"), F.first("signature").alias("signature"))
+    classes = materialize(classes.select("cls", F.col("one.doc_id").alias("doc"), "one.mark", "n", "signature"), "classes")
     shared = materialize(_shared(prefix_rows(docs, late)), "shared")
     few = materialize(close_pairs(shared.filter(F.col("many") <= FEW)), "pairs")
     stars = shared.filter(F.col("many") > FEW)
     weight = stars.groupBy("cls").agg((F.count("*") / F.max("n")).alias("weight"))
-    marked = few.select(F.explode(F.array("a", "b")).alias("cls")).union(weight.select("cls")).distinct()
-    marks = materialize(rows.filter("n > 0").select("cls", "n", "signature").join(marked, "cls", "left_semi").dropDuplicates(["cls"]).join(weight, "cls", "left").fillna(0.0, ["weight"]), "marks")
+    wanted = few.select(F.explode(F.array("a", "b")).alias("cls")).union(weight.select("cls")).distinct()
+    marks = materialize(classes.select("cls", "n", "signature").join(wanted, "cls", "left_semi").join(weight, "cls", "left").fillna(0.0, ["weight"]), "marks")
     crowds = components(stars.select(F.col("cls").alias("a"), F.col("leader").alias("b")).distinct()).withColumnsRenamed({"node": "cls"})
     edges = allowed(few, marks).union(cluster_links(crowds.join(marks, "cls"), CROWD))
     clusters = components(edges).withColumnsRenamed({"node": "cls"})
-    members = clusters.join(classes.select("cls", "doc"), "cls").join(marks.select("cls", "n", "weight"), "cls")
+    members = clusters.join(classes.select("cls", "doc", "mark"), "cls").join(marks.select("cls", "n", "weight"), "cls")
     texts = materialize(with_texts(materialize(members, "members"), docs), "cluster-texts")
     groups = components(cluster_links(texts, BLOCK)).withColumnsRenamed({"node": "cls"})
     # what has no class stands alone
