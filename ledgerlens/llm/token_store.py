@@ -30,7 +30,7 @@ from .shared import documents, new_path, ranked
 LEAST, MOST, MASK_BITS = 64, 4096, 9
 FANOUT = 4096
 #: Words whose ids an encoder keeps.
-KEPT = 1_000_000
+KEPT = 1_600_000
 PACKED = {"compression": "zstd"}
 POLYNOMIAL = 0xEDB88320  # of CRC-32, reflected
 
