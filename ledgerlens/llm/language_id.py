@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -27,7 +28,7 @@ SAMPLE, ROUNDS, ADDED = 1500, 3, 0.02
 #: Letters of the longest stretch that is scored as one word (a longer run is cut), and of the longest piece.
 LONGEST, PIECE = 32, 16
 #: Words whose scores are kept, and words scored at once.
-KEPT, AT_ONCE = 300_000, 20_000
+KEPT, AT_ONCE = 600_000, 20_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -115,26 +116,34 @@ class Model:
         self.scores = np.zeros((0, len(self.languages)))
 
     def _learn(self, words: list[str]) -> None:
-        new = [self.scores]
+        begin, end = len(self.row), len(self.row) + len(words)
+        if end > len(self.scores):  # doubled, so that rows are copied seldom
+            grown = np.empty((max(end, 2 * len(self.scores)), len(self.languages)))
+            grown[:begin] = self.scores[:begin]
+            self.scores = grown
         for k in range(0, len(words), AT_ONCE):
             part = words[k : k + AT_ONCE]
             lattice = Lattice(part, self.ids)
-            self.row.update(zip(part, range(len(self.row), len(self.row) + len(part)), strict=True))
-            new.append(np.log(np.maximum(lattice.totals(lattice.forward(self.p)), 1e-300)))
-        self.scores = np.concatenate(new)
+            self.scores[begin + k : begin + k + len(part)] = np.log(np.maximum(lattice.totals(lattice.forward(self.p)), 1e-300))
+        self.row.update(zip(words, range(begin, end), strict=True))
 
     def text_scores(self, texts: list[list[str]]) -> np.ndarray:
         """The log probability of each text's words in each language, with its share."""
-        new = set().union(*texts) - self.row.keys()
-        if len(self.row) + len(new) > KEPT:
-            self.row, self.scores = {}, self.scores[:0]
-            new = set().union(*texts)
+        found = [list(map(self.row.get, words)) for words in texts]
+        new = {w for words, f in zip(texts, found, strict=True) if None in f for w, x in zip(words, f, strict=True) if x is None}
         if new:
+            forgotten = len(self.row) + len(new) > KEPT
+            if forgotten:
+                self.row.clear()
+                new = set().union(*texts)
             self._learn(list(new))
+            found = [list(map(self.row.__getitem__, words)) if forgotten or None in f else f for words, f in zip(texts, found, strict=True)]
         out = np.tile(self.prior, (len(texts), 1))
-        for k, words in enumerate(texts):
-            if words:
-                out[k] += self.scores[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))].sum(0)
+        sizes = np.array([len(f) for f in found])
+        some = np.flatnonzero(sizes)
+        if len(some):
+            rows = self.scores[np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))]
+            out[some] += np.add.reduceat(rows, np.cumsum(sizes[some]) - sizes[some])
         return out
 
 
@@ -156,7 +165,9 @@ def learn(rows: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS
         return None
     share = F.create_map(*[F.lit(x) for g in languages for x in (g, min(1.0, sample / sizes[g]))])
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
-    chosen = materialize(rows.filter(place < F.element_at(share, F.col("lang"))).select("text", "lang"), "language-sample")
+    n = min(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    chosen = rows.filter(place < F.element_at(share, F.col("lang"))).select("text", "lang")
+    chosen = materialize(chosen.repartition(n), "language-sample")  # bounded, and each round is much work for its size
     pieces = vocabulary(path)
     p = np.full((len(pieces) + 1, len(languages)), 1 / (len(pieces) + 1))
     index = {g: k for k, g in enumerate(languages)}
