@@ -44,4 +44,4 @@ def test_query(spark, oracle, name):
         want = rows_of(names, found.fetchall())
         assert sorted(names) == sorted(df.columns)
         assert got == want
-    assert got or name in ("q_at_block",)  # none is left by then in the smallest tables
+    assert got or name in ("q_at_block", "chain_verify_corrupt", "block_refs_desc")  # may be empty on the smallest tables
