@@ -215,7 +215,7 @@ def cluster_links(members: DataFrame, block: int) -> DataFrame:
         F.count("*").alias("size"),
         F.array(F.max_by("cls", F.struct("weight", "cls")), F.min_by("cls", F.struct("n", "cls")), F.min("cls")).alias("anchors"),
     )
-    rows = members.join(stats, "component").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    rows = members.join(materialize(stats, "stats"), "component").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))  # written, so that Spark can split the join
     rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("anchor", F.array_contains("anchors", F.col("cls")))
     spread = F.when(F.col("anchor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
     first = rows.select("component", F.explode(spread).alias("block"), "cls", "n", payload, F.col("cls").alias("known"), F.lit(True).alias("asks"))
@@ -229,7 +229,7 @@ def cluster_links(members: DataFrame, block: int) -> DataFrame:
     grouped = materialize(grouped, "grouped")
     counted = grouped.groupBy("component", "known").count()
     main = counted.groupBy("component").agg(F.max_by("known", F.struct("count", "known")).alias("main"), F.expr("sum(count) - max(count)").alias("outside"))
-    large = large.join(grouped, ["component", "cls"]).join(main.filter("outside > 0"), "component")
+    large = large.join(grouped, ["component", "cls"]).join(materialize(main.filter("outside > 0"), "main"), "component")
     parts = F.ceil(F.col("outside") / ASKING).cast("int")
     each = large.select("component", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("own").alias("block"), "cls", "n", payload, "known", F.lit(False).alias("asks"))
     asking = large.filter("known <> main").select("component", F.pmod(F.xxhash64("cls", F.lit(1)), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cls", "n", payload, "known", F.lit(True).alias("asks"))
