@@ -38,8 +38,8 @@ def rolling(ops: DataFrame, seed: Column) -> DataFrame:
         h = digest_hex(s["h"], x["entity_key"], x["entity_hash"])
         return F.struct(h.alias("h"), F.concat(s["out"], F.array(F.struct(x["position"].alias("position"), s["h"].alias("previous"), h.alias("claimed")))).alias("out"))
 
-    made = folded.select(F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("x")).select("x.*")
-    return ops.join(made, "position")
+    made = folded.select("block", F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("x")).select("block", "x.*")
+    return ops.join(made, ["block", "position"])
 
 
 def checked_links(ops: DataFrame, seed: Column) -> DataFrame:

@@ -73,11 +73,11 @@ def status(ops: DataFrame) -> DataFrame:
 def tracked(ops: DataFrame, confirmed: Column) -> DataFrame:
     """What a load generator knows of its entities after all batches: those that failed change nothing.
 
-    ops: position, op, entity, signer, receiver, expires_at. A create makes an entity of its signer, an extend moves its
+    ops: block, position, op, entity, signer, receiver, expires_at. A create makes an entity of its signer, an extend moves its
     expiry, a transfer gives it away, a delete or an expire takes it. One row for each entity: owner, expires_at, alive.
     """
     good = ops.filter(confirmed)
-    last = lambda value, *kinds: F.max_by(value, F.when(F.col("op").isin(*kinds), F.col("position")))
+    last = lambda value, *kinds: F.max_by(value, F.when(F.col("op").isin(*kinds), F.struct("block", "position")))
     good = good.withColumn("holder", F.when(F.col("op") == "create", F.col("signer")).otherwise(F.col("receiver")))
     return good.groupBy("entity").agg(last("holder", "create", "transfer").alias("owner"), last("expires_at", "create", "extend").alias("expires_at"), (~F.bool_or(F.col("op").isin("delete", "expire"))).alias("alive"))
 

@@ -1,6 +1,6 @@
 """Entity state from operations: the last writer of each group of fields, so no fold over rows in order.
 
-Operations are rows with entity_key, op, position (their place on the chain), block, sender, expires_at, new_owner and
+Operations are rows with entity_key, op, block, position (their place in the block), sender, expires_at, new_owner and
 event_id (what holds the payload). State at a block is state of the operations up to it, and a revert is state without
 the reverted ones.
 """
@@ -13,14 +13,19 @@ from pyspark.sql import functions as F
 GONE = ("delete", "expire")
 
 
+def place() -> Column:
+    """An operation's place on the chain."""
+    return F.struct("block", "position")
+
+
 def last_of(value: str, *ops: str) -> Column:
-    return F.max_by(value, F.when(F.col("op").isin(*ops), F.col("position")))
+    return F.max_by(value, F.when(F.col("op").isin(*ops), place()))
 
 
 def latest(ops: DataFrame) -> DataFrame:
     """One row for each entity that was ever created."""
     return ops.groupBy("entity_key").agg(
-        F.min_by("sender", F.when(F.col("op") == "create", F.col("position"))).alias("creator"),
+        F.min_by("sender", F.when(F.col("op") == "create", place())).alias("creator"),
         last_of("new_owner", "create", "transfer").alias("owner"),
         last_of("event_id", "create", "update").alias("payload_event"),
         last_of("expires_at", "create", "extend").alias("expires_at"),
@@ -40,14 +45,14 @@ def expirable(state: DataFrame, block: int) -> DataFrame:
 
 
 def versions(ops: DataFrame) -> DataFrame:
-    """Every version of every entity: valid_from and valid_to (positions; null: still), with owner, expiry and payload.
+    """Every version of every entity: valid_from and valid_to (places; null: still), with owner, expiry and payload.
 
     A version ends where the entity's next operation is. Entities have few operations each, so a window over one is small.
     """
-    w = Window.partitionBy("entity_key").orderBy("position")
+    w = Window.partitionBy("entity_key").orderBy("block", "position")
     held = lambda value, *kinds: F.last(F.when(F.col("op").isin(*kinds), F.col(value)), True).over(w)
     return ops.select(
-        "entity_key", "op", F.col("position").alias("valid_from"), F.lead("position").over(w).alias("valid_to"),
+        "entity_key", "op", place().alias("valid_from"), F.lead(place()).over(w).alias("valid_to"),
         held("new_owner", "create", "transfer").alias("owner"), held("expires_at", "create", "extend").alias("expires_at"), held("event_id", "create", "update").alias("payload_event"),
         (~F.col("op").isin(*GONE)).alias("alive"),
     )
@@ -55,6 +60,6 @@ def versions(ops: DataFrame) -> DataFrame:
 
 def monotonicity(ops: DataFrame) -> DataFrame:
     """Extends that don't raise their entity's expiry, with the expiry before."""
-    w = Window.partitionBy("entity_key").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("entity_key").orderBy("block", "position").rowsBetween(Window.unboundedPreceding, -1)
     before = F.last(F.when(F.col("op").isin("create", "extend"), F.col("expires_at")), True).over(w)
     return ops.withColumn("before", before).filter((F.col("op") == "extend") & (F.col("expires_at") <= F.col("before")))

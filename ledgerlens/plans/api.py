@@ -77,4 +77,4 @@ class Ledger:
 
     def history(self, depth: int) -> DataFrame:
         """The oldest `depth` operations, with a number of the transaction among those of its block."""
-        return self.ops.orderBy("position").limit(depth).select("block", "tx_index", "op_index", "op", "entity_key", "sender")
+        return self.ops.orderBy("block", "position").limit(depth).select("block", "tx_index", "op_index", "op", "entity_key", "sender")

@@ -161,7 +161,24 @@ def state_as_of(spark, sf_dir):
     FROM oplog WHERE valid WINDOW w AS (PARTITION BY entity_key ORDER BY position)"""
 )
 def entity_history_scd2(spark, sf_dir):
-    return state.versions(valid_ops(spark, sf_dir))
+    rows = state.versions(valid_ops(spark, sf_dir))
+    return rows.withColumns({c: adapters.packed(F.col(c)["block"], *adapters.indices(F.col(c)["position"])) for c in ("valid_from", "valid_to")})
+
+
+@query(
+    f"""WITH {OPLOG_SQL} SELECT entity_key, op, block AS from_block, tx_index AS from_tx, op_index AS from_op, lead(block) OVER w AS to_block, lead(tx_index) OVER w AS to_tx, lead(op_index) OVER w AS to_op,
+    last_value(CASE WHEN op IN ('create', 'transfer') THEN new_owner END IGNORE NULLS) OVER w AS owner, last_value(CASE WHEN op IN ('create', 'extend') THEN expires_at END IGNORE NULLS) OVER w AS expires_at,
+    last_value(CASE WHEN op IN ('create', 'update') THEN event_id END IGNORE NULLS) OVER w AS payload_event, op <> 'delete' AS alive
+    FROM oplog WHERE valid WINDOW w AS (PARTITION BY entity_key ORDER BY block, tx_index, op_index)"""
+)
+def entity_history_places(spark, sf_dir):
+    """Versions with the block, transaction and operation of their ends, for blocks and transactions of any size."""
+    rows = state.versions(valid_ops(spark, sf_dir))
+    ends = {}
+    for name in ("from", "to"):
+        at = F.col(f"valid_{name}")
+        ends |= dict(zip((f"{name}_block", f"{name}_tx", f"{name}_op"), (at["block"], *adapters.indices(at["position"])), strict=True))
+    return rows.withColumns(ends).drop("valid_from", "valid_to")
 
 
 @query(f"WITH {STATE_SQL} SELECT entity_key, owner, expires_at FROM state WHERE alive AND expires_at <= {AT_BLOCK}")
@@ -316,7 +333,20 @@ def revert_not_found(spark, sf_dir):
 )
 def event_pair_quarantine(spark, sf_dir):
     """Transactions in which an event is lost, or names another entity, are set aside."""
-    calls = written(oplog(spark, sf_dir).select(F.expr("position div 1024").alias("tx"), F.col("op_index").alias("log_index"), "entity_key", "event_id"), "calls")
+    return _quarantined(spark, sf_dir).withColumn("tx", adapters.packed(F.col("tx")["block"], F.col("tx")["tx_index"]))
+
+
+@query(
+    f"""WITH {OPLOG_SQL}, calls AS (SELECT block, tx_index, count(*) AS operations, bool_or(event_id % 41 = 0) AS lost, bool_or(event_id % 37 = 0) AS changed FROM oplog GROUP BY block, tx_index)
+    SELECT block, tx_index, operations, CASE WHEN lost THEN 'count mismatch' WHEN changed THEN 'key mismatch' END AS error FROM calls"""
+)
+def event_pair_places(spark, sf_dir):
+    """The same with block and index of the transaction, for blocks and transactions of any size."""
+    return _quarantined(spark, sf_dir).select("tx.*", "operations", "error")
+
+
+def _quarantined(spark, sf_dir):
+    calls = written(oplog(spark, sf_dir).select(F.struct("block", "tx_index").alias("tx"), F.col("op_index").alias("log_index"), "entity_key", "event_id"), "calls")
     entity = calls.withColumn("entity_key", F.when(F.col("event_id") % 37 == 0, F.reverse("entity_key")).otherwise(F.col("entity_key")))
     return decode.quarantine(decode.paired(calls, entity, calls.filter(F.col("event_id") % 41 != 0)))
 
@@ -489,7 +519,7 @@ def create_nonces(spark, sf_dir):
 )
 def batch_refs(spark, sf_dir):
     """$0 in later operations of a transaction: the key that its first operation makes, null where that is no create."""
-    ops = written(oplog(spark, sf_dir).select(F.expr("position div 1024").alias("tx"), "op_index", "op", "entity_key", "event_id"), "refs")
+    ops = written(oplog(spark, sf_dir).select(F.struct("block", "tx_index").alias("tx"), "op_index", "op", "entity_key", "event_id"), "refs")
     makes = ops.filter("op_index = 0 and op = 'create'").select("tx", F.col("entity_key").alias("resolved"))
     return ops.filter("op_index > 0").join(makes, "tx", "left").select("event_id", "resolved")
 

@@ -5,7 +5,7 @@ An event is an operation of its user, in a block of ten minutes; a document is a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs
@@ -18,6 +18,29 @@ BUCKET = 144
 OPERATION_OF = {"signup": "create", "purchase": "update", "view": "extend", "click": "transfer", "error": "delete"}
 
 
+#: In tables that have one number for a chain place, at most so many transactions a block, and operations a transaction.
+PACKED = 1024
+
+
+def place_in_block(tx_index: str = "tx_index", op_index: str = "op_index") -> Column:
+    """One number for both indices: each is an int, so 32 bits hold any."""
+    return F.shiftleft(F.col(tx_index).cast("long"), 32) + F.col(op_index).cast("long")
+
+
+def indices(position: Column) -> tuple[Column, Column]:
+    """tx_index and op_index of a place in a block."""
+    return F.shiftright(position, 32), position.bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def packed(block: Column, *at: Column) -> Column:
+    """block and an index or two as one number of fixed width; an error where an index doesn't fit."""
+    out = block
+    for k in at:
+        wrong = F.raise_error(F.concat(F.lit(f"an index of {PACKED} or more in block "), block.cast("string")))
+        out = out * PACKED + F.when(k >= PACKED, wrong.cast("long")).otherwise(k)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,7 +58,7 @@ def oplog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     tx_index counts transactions of a block by their first event, op_index operations of a transaction in time. An
     entity lives from a create of its sender to the next; its key is the hash of the sender and the creates before.
-    valid: a create, or the entity is there. position orders all operations of the chain.
+    valid: a create, or the entity is there. position orders the operations of a block, (block, position) all of the chain.
     """
     rows = events(spark, sf_dir).withColumn("bucket", F.expr(f"block div {BUCKET}"))
     life = F.when(F.col("op").isin("create", "delete"), F.col("op"))
@@ -55,7 +78,7 @@ def oplog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = rows.withColumns(
         {
-            "position": F.expr("block * 1048576 + tx_index * 1024 + op_index"),
+            "position": place_in_block(),
             "expires_at": F.when(F.col("op").isin("create", "extend"), F.col("block") + F.col("amount")),
             "new_owner": F.when(F.col("op") == "create", F.col("sender")).when(F.col("op") == "transfer", F.expr("sender + 1 + amount % 5")),
             "entity_hash": F.sha2(F.concat(F.lit("event:"), F.col("event_id").cast("string")).cast("binary"), 256),
