@@ -150,6 +150,15 @@ def commitment(spark, sf_dir):
     return rows.select("entity_key", "creator", "owner", "created_block", "updated_block", "expires_at")
 
 
+@query(
+    f"""WITH {OPLOG_SQL} SELECT entity_key, min(sender) AS creator, arg_max(new_owner, (block, tx_index, op_index)) FILTER (op IN ('create', 'transfer')) AS owner, min(block) AS created_block, max(block) AS updated_block,
+    arg_max(expires_at, (block, tx_index, op_index)) FILTER (op IN ('create', 'extend')) AS expires_at FROM oplog WHERE valid GROUP BY entity_key"""
+)
+def commitment_all(spark, sf_dir):
+    """What the chain commits to, for every entity."""
+    return state.latest(valid_ops(spark, sf_dir)).select("entity_key", "creator", "owner", "created_block", "updated_block", "expires_at")
+
+
 @query(f"WITH {AS_OF_SQL} SELECT * FROM state")
 def state_as_of(spark, sf_dir):
     return state.as_of(valid_ops(spark, sf_dir), AT_BLOCK)
