@@ -550,6 +550,25 @@ def status_report(spark, sf_dir):
     return generate.status(oplog(spark, sf_dir).filter("block >= 3000").withColumnRenamed("valid", "confirmed"))
 
 
+@query(
+    f"""WITH {OPLOG_SQL}, t AS (
+      SELECT entity_key, arg_max(new_owner, (block, tx_index, op_index)) FILTER (op IN ('create', 'transfer')) AS owner, arg_max(expires_at, (block, tx_index, op_index)) FILTER (op IN ('create', 'extend')) AS expires_at, NOT bool_or(op = 'delete') AS alive
+      FROM oplog WHERE valid GROUP BY entity_key),
+    q AS (SELECT alive, alive AND expires_at <= {AT_BLOCK} AND owner % 11 <> 0 AS queued FROM t)
+    SELECT list_position(['create', 'update', 'extend', 'transfer', 'delete', 'expire'], op) - 1 AS place, op, count(*) AS sent, count(*) FILTER (valid) AS confirmed, count(*) FILTER (NOT valid) AS failed,
+      (SELECT count(*) FROM q WHERE alive AND NOT queued) AS alive, (SELECT count(*) FROM q WHERE queued) AS expired_queue, (SELECT count(DISTINCT sender) FROM oplog WHERE sender % 11 = 0) AS in_flight
+    FROM oplog GROUP BY op"""
+)
+def status_report_all(spark, sf_dir):
+    """The report over all operations, with how many entities are alive and queued to expire, and senders in flight."""
+    ops = written(oplog(spark, sf_dir), "status")
+    named = ops.withColumnsRenamed({"entity_key": "entity", "sender": "signer", "new_owner": "receiver"})
+    entities = generate.promoted(generate.tracked(named, F.col("valid")), AT_BLOCK, F.col("owner") % PENDING == 0)
+    counts = entities.agg(F.count_if(F.col("alive") & ~F.col("queued")).alias("alive"), F.count_if("queued").alias("expired_queue"))
+    busy = ops.filter(F.col("sender") % PENDING == 0).agg(F.countDistinct("sender").alias("in_flight"))
+    return generate.status(ops.withColumnRenamed("valid", "confirmed")).crossJoin(counts).crossJoin(busy)
+
+
 @query("SELECT c_custkey AS address, CASE WHEN s_suppkey IS NOT NULL THEN s_name ELSE c_name END AS account, c_custkey IS NOT NULL AND s_suppkey IS NOT NULL AS replaced FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey UNION ALL SELECT s_suppkey, s_name, false FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)")
 def alloc_merge(spark, sf_dir):
     """Accounts of customers, with those of suppliers put over them by number."""
