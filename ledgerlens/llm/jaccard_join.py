@@ -285,18 +285,33 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: that with the smallest doc_id, and of rows with one id one.
+    """docs with one row of each component: that with the smallest doc_id, null after all, and of equal ids any one.
 
-    Rows with a null id have a place of their own after all ids. Texts are moved only of documents whose ids share a
-    place in a bitmap of fixed size with one that goes.
+    Rows whose ids don't name them (null, repeated, not a long or too large for one) are written with a number of their
+    own. Texts of the others are moved only where their ids share a place in a bitmap of fixed size with one that goes.
     """
     spark = docs.sparkSession
-    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.monotonically_increasing_id()))
+    first = 1 << 62
+    whole = docs.withColumn("_id", F.expr("try_cast(doc_id as bigint)"))
     with scratch(spark) as keep:
+        names = whole.groupBy("_id").agg(F.count("*").alias("_rows"))
+        shared = keep(names.filter(F.col("_id").isNull() | (F.col("_rows") > 1) | (F.col("_id") >= first)).select("_id"), "shared-ids")
+        if shared.isEmpty():
+            named, odd = whole, None
+        else:
+            odd = whole.join(shared, whole["_id"].eqNullSafe(shared["_id"]), "left_semi")
+            odd = keep(odd.withColumn("_id", F.lit(first) + F.monotonically_increasing_id()), "odd-rows")
+            named = whole.join(shared, whole["_id"].eqNullSafe(shared["_id"]), "left_anti").union(odd)
         found = jaccard_components(named.select(F.col("_id").alias("doc_id"), "text"))
-        gone = found.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_and(F.col("component_id") != F.col("doc_id")).alias("goes"), F.count("*").alias("_rows"))
-        gone = keep(gone.filter("goes or _rows > 1").select("_id", "goes"), "copies")
+        gone = found.select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_stays"))
+        if odd is not None:  # numbers don't stand in the order of ids
+            real = gone.join(odd.select("_id", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("real"), "_id").alias("_real")), "_id", "left")
+            groups = real.filter(F.col("_real").isNotNull()).select("_stays").distinct()
+            own = F.coalesce("_real", F.struct(F.lit(False).alias("none"), F.col("_id").cast(docs.schema["doc_id"].dataType).alias("real"), "_id"))
+            best = real.join(groups, "_stays", "left_semi").groupBy("_stays").agg(F.min(own).alias("_best")).select("_stays", F.col("_best._id").alias("_best"))
+            gone = gone.join(best, "_stays", "left").select("_id", F.coalesce("_best", "_stays").alias("_stays"))
+        gone = keep(gone.filter(F.col("_id") != F.col("_stays")).select("_id"), "copies")
         words = keep(slot_words(gone.select(slot_of("_id"))), "copies-bitmap")
     rows = marked(named, "_id", words)
-    some = rows.filter("marked").join(gone.filter("goes").select("_id"), "_id", "left_anti").dropDuplicates(["_id"])
+    some = rows.filter("marked").join(gone, "_id", "left_anti")
     return rows.filter("not marked").select(*docs.columns).union(some.select(*docs.columns))

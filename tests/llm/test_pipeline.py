@@ -99,3 +99,10 @@ def test_stages_on_no_rows(spark, stages):
     at, out = stages
     for (_, stage), docs in zip(P.STAGES, out, strict=False):
         assert stage(spark, docs.limit(0), at).count() == 0
+
+
+def test_rows_that_share_an_id_are_rows_of_their_own(spark, make_docs):
+    one, two, three = prose(60, 40), prose(61, 40), prose(62, 40)
+    _, docs = make_docs([one, two, three, one, prose(63, 40), three], ids=[5, 5, 9, 2, (1 << 62) + 1, 9])
+    got = P.drop_copies(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(2, one), (5, two), (9, three), ((1 << 62) + 1, prose(63, 40))])
