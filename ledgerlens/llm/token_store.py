@@ -155,6 +155,13 @@ def chunked(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return arrow.map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, keys array<binary>, sizes array<int>, root binary, payloads array<binary>")
 
 
+def folded(nodes: DataFrame) -> DataFrame:
+    """level, block, n and root of the nodes above those given (level, block, root)."""
+    above = nodes.groupBy((F.col("level") + 1).alias("level"), F.floor(F.col("block") / FANOUT).alias("block")).agg(F.array_sort(F.collect_list(F.struct("block", "root"))).alias("c"))
+    joined = F.aggregate("c", F.lit(b"").cast("binary"), lambda s, x: F.concat(s, x["root"]))
+    return above.select("level", "block", F.size("c").cast("long").alias("n"), F.unhex(F.sha2(joined, 256)).alias("root"))
+
+
 class TokenStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -183,9 +190,7 @@ class TokenStore:
         nodes, level = self.table("recipes").select(F.col("rank").alias("block"), "root"), 0
         while True:
             level += 1
-            inner = nodes.groupBy(F.floor(F.col("block") / FANOUT).alias("block")).agg(F.array_sort(F.collect_list(F.struct("block", "root"))).alias("c"))
-            joined = F.aggregate("c", F.lit(b"").cast("binary"), lambda s, x: F.concat(s, x["root"]))
-            inner = inner.select(F.lit(level).alias("level"), "block", F.size("c").cast("long").alias("n"), F.unhex(F.sha2(joined, 256)).alias("root"))
+            inner = folded(nodes.withColumn("level", F.lit(level - 1)))
             inner.write.mode("append").parquet(f"{self.path}/manifest")
             nodes = self.table("manifest").filter(F.col("level") == level).select("block", "root")
             if nodes.count() <= 1:
@@ -206,14 +211,45 @@ class TokenStore:
 
         return self.table("chunks").select("n", "payload").mapInArrow(run, "key binary, n int, crc long")
 
-    def placed(self) -> DataFrame:
-        """A row for each chunk in each recipe, with the ids that follow it in the document."""
-        each = self.table("recipes").select("rank", "doc_id", "start", "n_tokens", F.posexplode(F.arrays_zip("keys", "sizes")).alias("pos", "x"), "sizes")
+    def sound_recipes(self) -> DataFrame:
+        """Recipes with sound: keys give the root, and sizes add up to n_tokens."""
+
+        def run(batches):
+            for batch in batches:
+                rows = zip(*(batch.column(c).to_pylist() for c in ("keys", "sizes", "n_tokens", "root")), strict=True)
+                sound = [bool(keys) and len(keys) == len(sizes) and sum(sizes) == n and merkle(keys) == root for keys, sizes, n, root in rows]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sound, pa.bool_())], [*batch.schema.names, "sound"])
+
+        recipes = self.table("recipes")
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in recipes.schema)
+        return recipes.mapInArrow(run, f"{schema}, sound boolean")
+
+    def listed(self) -> DataFrame:
+        """block and listed: whether the manifest has the roots of the block's recipes, all of them and no others.
+
+        A node above that isn't its children's, a top that isn't one, or a block whose recipes are all gone, and no
+        block is listed.
+        """
+        manifest = self.table("manifest")
+        made = folded(self.table("recipes").select(F.lit(0).alias("level"), F.col("rank").alias("block"), "root")).unionByName(folded(manifest.select("level", "block", "root")))
+        made = made.select("level", "block", F.struct("n", "root").alias("made"))
+        both = made.join(manifest.select("level", "block", F.struct("n", "root").alias("kept")), ["level", "block"], "full_outer")
+        top = manifest.groupBy("level").count().agg(F.coalesce(F.max_by("count", "level"), F.lit(0)).alias("tops"), F.max("level").alias("top"))
+        both = both.crossJoin(F.broadcast(top)).filter((F.col("level") <= F.coalesce("top", F.lit(1))))
+        same = F.coalesce(F.col("made") == F.col("kept"), F.lit(False))
+        wrong = both.agg(F.coalesce(F.bool_or((F.col("tops") != 1) | F.col("made").isNull() | ((F.col("level") > 1) & ~same)), F.lit(False)).alias("wrong"))
+        return both.filter("level = 1").crossJoin(F.broadcast(wrong)).select("block", (same & ~F.col("wrong")).alias("listed"))
+
+    def placed(self, recipes: DataFrame | None = None) -> DataFrame:
+        """A row for each chunk in each recipe, with the ids that follow it in the document; one for a recipe without any."""
+        recipes = self.table("recipes").withColumn("sound", F.lit(None).cast("boolean")) if recipes is None else recipes
+        each = recipes.select("rank", "doc_id", "start", "n_tokens", "sound", F.posexplode_outer(F.arrays_zip("keys", "sizes")).alias("pos", "x"), "sizes")
         after = F.aggregate(F.slice("sizes", F.col("pos") + 2, F.size("sizes")), F.lit(0).cast("long"), lambda s, x: s + x)
-        return each.select("rank", "doc_id", "start", "n_tokens", "pos", F.col("x.keys").alias("key"), F.col("x.sizes").alias("n"), after.alias("after"))
+        return each.select("rank", "doc_id", "start", "n_tokens", "sound", "pos", F.col("x.keys").alias("key"), F.col("x.sizes").alias("n"), F.coalesce(after, F.lit(0).cast("long")).alias("after"))
 
     def verified(self) -> DataFrame:
-        """doc_id, start, n_tokens, ids_crc32 and whole (every chunk is there, under its true name and size).
+        """doc_id, start, n_tokens, ids_crc32 and whole (every chunk is there, under its true name and size, the recipe
+        gives its root and count, and the manifest has the root).
 
         CRC-32 is linear: a document's is the exclusive or of its chunks', each shifted by the bytes behind it. So only
         digests of the stored chunks move, never their ids.
@@ -226,11 +262,13 @@ class TokenStore:
 
         keep = ["rank", "doc_id", "start", "n_tokens", "good"]
         found = self.chunk_digests().withColumnRenamed("n", "has")
-        joined = self.placed().join(found, "key", "left")
-        joined = joined.select("rank", "doc_id", "start", "n_tokens", F.coalesce(F.col("has") == F.col("n"), F.lit(False)).alias("good"), F.coalesce("crc", F.lit(0)).alias("crc"), "after")
+        joined = self.placed(self.sound_recipes()).join(found, "key", "left")
+        joined = joined.select("rank", "doc_id", "start", "n_tokens", F.coalesce(F.col("sound") & (F.col("has") == F.col("n")), F.lit(False)).alias("good"), F.coalesce("crc", F.lit(0)).alias("crc"), "after")
         kind = self.table("recipes").schema["doc_id"].dataType.simpleString()
         shifted = joined.mapInArrow(run, f"rank long, doc_id {kind}, start long, n_tokens long, good boolean, crc long")
-        return shifted.groupBy("rank", "doc_id", "start", "n_tokens").agg(F.expr("bit_xor(crc)").alias("ids_crc32"), F.bool_and("good").alias("whole")).drop("rank")
+        out = shifted.groupBy("rank", "doc_id", "start", "n_tokens").agg(F.expr("bit_xor(crc)").alias("ids_crc32"), F.bool_and("good").alias("good"))
+        out = out.withColumn("block", F.floor(F.col("rank") / FANOUT)).join(self.listed(), "block", "left")
+        return out.select("doc_id", "start", "n_tokens", "ids_crc32", (F.col("good") & F.coalesce("listed", F.lit(False))).alias("whole"))
 
     def reconstruct(self) -> DataFrame:
         """rank, doc_id and payloads, the stored bytes of every document's chunks in order."""

@@ -55,6 +55,33 @@ def test_chunks_are_stored_once_and_losses_are_seen(spark, make_docs, tmp_path):
     assert bad == {r.doc_id for r in recipes if lost in r["keys"]}
 
 
+def test_whole_needs_the_recipe_its_root_and_the_manifest(spark, make_docs, tmp_path):
+    _, docs = make_docs(["a", "b", prose(4, 1500), "c"])
+    store = S.TokenStore(spark, str(tmp_path / "store"))
+    store.write(docs, PATH, 2)
+    recipes = spark.createDataFrame(store.table("recipes").collect(), store.table("recipes").schema)
+
+    def not_whole(name, rows):
+        rows.write.parquet(str(tmp_path / "new"))
+        (tmp_path / "store" / name).rename(tmp_path / f"old-{name}")
+        (tmp_path / "new").rename(tmp_path / "store" / name)
+        bad = {r.doc_id for r in store.verified().collect() if not r.whole}
+        (tmp_path / "store" / name).rename(tmp_path / "new")
+        (tmp_path / f"old-{name}").rename(tmp_path / "store" / name)
+        (tmp_path / "new").rename(tmp_path / f"gone-{len(list(tmp_path.iterdir()))}")
+        return bad
+
+    keys = {r.doc_id: r["keys"] for r in recipes.collect()}
+    of = lambda k: S.F.col("doc_id") == k
+    exchanged = recipes.withColumn("keys", S.F.when(of(0), S.F.array(S.F.lit(bytes(keys[1][0])))).otherwise(S.F.col("keys")))
+    dropped = recipes.withColumns({c: S.F.when(of(2), S.F.slice(c, 2, 1000)).otherwise(S.F.col(c)) for c in ("keys", "sizes")})
+    assert not_whole("recipes", exchanged) == {0} and not_whole("recipes", dropped) == {2}
+    assert not_whole("recipes", recipes.withColumn("n_tokens", S.F.col("n_tokens") + S.F.when(of(3), 1).otherwise(0))) == {3}
+    assert not_whole("recipes", recipes.filter(~of(1))) == {0, 2, 3}
+    assert not_whole("manifest", store.table("manifest").limit(0)) == {0, 1, 2, 3}
+    assert all(r.whole for r in store.verified().collect())
+
+
 def test_empty_table(spark, make_docs, tmp_path):
     _, docs = make_docs(["a"])
     store = S.TokenStore(spark, str(tmp_path / "store"))
