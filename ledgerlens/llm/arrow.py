@@ -81,10 +81,9 @@ def runs(batches, keys: list[str]):
 _made: dict = {}
 
 
-def once(key, make):
-    """What make() gives, made once in a Python worker for each key; at most four are kept."""
-    if key not in _made:
-        if len(_made) >= 4:
-            _made.clear()
-        _made[key] = make()
+def once(key, make, kept: int = 6):
+    """What make() gives, made once in a Python worker for each key; the one that was asked for longest ago goes first."""
+    _made[key] = _made.pop(key) if key in _made else make()
+    while len(_made) > kept:
+        del _made[next(iter(_made))]
     return _made[key]

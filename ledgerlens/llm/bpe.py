@@ -13,15 +13,13 @@ from __future__ import annotations
 import codecs
 import json
 import re
-import sys
-import unicodedata
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 
+from .words import MARK, OTHER, SPACE, WordTable, classes, joined, spread
+
 NONE = np.int32(2**31 - 1)
-#: White_Space of Unicode. Fixed values.
-SPACES = "\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_alphabet() -> list[str]:
@@ -31,29 +29,45 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
-def _class(kind: str, below: int) -> str:
-    """The characters of a general category's first letter, as ranges of a character class."""
-    found, start = [], None
-    for c in range(below + 1):
-        inside = c < below and unicodedata.category(chr(c))[0] == kind
-        if inside and start is None:
-            start = c
-        elif not inside and start is not None:
-            found.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(found)
-
+def kinds(data: np.ndarray) -> np.ndarray:
+    """Classes of bytes as words know them: marks are like any other character."""
+    out = classes(data)
+    out[out == MARK] = OTHER
+    return out
 
-@lru_cache(2)
-def _splitter(below: int):
-    letters, numbers = _class("L", below), _class("N", below)
-    return re.compile(f" ?[{letters}]+| ?[{numbers}]+|'(?:[stmd]|re|ve|ll)| ?[^{SPACES}{letters}{numbers}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
+def word_starts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where the stretches begin that merges don't cross, in texts joined by words.joined; together they are the texts.
 
-def split_words(text: str) -> list[str]:
-    """The stretches that merges don't cross; together they are the text."""
-    small = text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
-    return _splitter(0x10000 if small else sys.maxunicode + 1).findall(text)
+    Such a word is a run of one class with a space in front of it; a run of white space but for its last character,
+    where something follows; that character, if it is no space; and an apostrophe with s, t, m, d, re, ve or ll.
+    """
+    n = int(edges[-1])
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    kind = kinds(data[:n])
+    start, first = np.ones(n, dtype=bool), np.zeros(n + 3, dtype=bool)
+    start[1:] = kind[1:] != kind[:-1]
+    first[edges[:-1]] = True
+    start |= first[:n]
+    at = np.flatnonzero(start[1:] & (kind[:-1] == SPACE) & (kind[1:] != SPACE)) + 1
+    at = at[~first[at]]
+    last = at - 1
+    for _ in range(2):  # the first byte of the white space in front
+        last = last - ((data[last] & 0xC0) == 0x80)
+    start[last] = True
+    start[at[data[at - 1] == 0x20]] = False
+    mark = np.flatnonzero((data[:n] == 0x27) & start)
+    if len(mark):
+        mark = mark[~first[mark + 1]]
+        a, b = data[mark + 1], data[mark + 2]
+        one = np.isin(a, np.frombuffer(b"stmd", dtype=np.uint8))
+        two = ~first[mark + 2] & (((b == 0x65) & ((a == 0x72) | (a == 0x76))) | ((a == 0x6C) & (b == 0x6C)))
+        end = mark + 2 + two
+        some = one | two
+        start[mark[some] + 1] = False
+        start[end[some & (end < n)]] = True
+    return np.flatnonzero(start)
 
 
 class Merges:
@@ -73,6 +87,9 @@ class Merges:
             rows.append((vocabulary[a], vocabulary[b], vocabulary[a + b]))
         self.merges = np.array(rows, dtype=np.int64).reshape(-1, 3)
         self.size = 1 + max(self.token_bytes)
+        each = [self.token_bytes.get(i, b"") for i in range(self.size)]
+        self.blob, self.width = np.frombuffer(b"".join(each), dtype=np.uint8), np.array([len(x) for x in each], dtype=np.int64)
+        self.place = np.cumsum(self.width) - self.width
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         bits = max(4, (4 * len(rows)).bit_length())
         self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
@@ -102,6 +119,10 @@ class Merges:
             open_ = open_[~same & (there != -1)]
         return out
 
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all ids, one after another; an id that isn't in the vocabulary has none."""
+        return spread(self.blob, self.place[ids], self.width[ids])
+
     @cached_property
     def lookahead(self) -> int:
         """Bytes at the end of a buffer whose tokens may still change; see the module's text."""
@@ -118,13 +139,17 @@ class Merges:
 
     def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, list[int]]:
         """The token ids of all words, one after another, and where each word's begin (and the last's end)."""
-        sizes = np.array([len(w) for w in words], dtype=np.int64)
-        ids = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
-        word = np.repeat(np.arange(len(words)), sizes)
+        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        ids, counts = self.merged(data, np.array([len(w) for w in words], dtype=np.int64))
+        return ids, [0, *np.cumsum(counts).tolist()]
+
+    def merged(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The token ids of words of these sizes, one after another, and how many each has."""
+        ids, word = self.byte_ids[data], np.repeat(np.arange(len(sizes)), sizes)
+        rank = np.full(len(ids), NONE, dtype=np.int32)  # of a token and the next
+        rank[:-1] = np.where(word[:-1] == word[1:], self.ranks(ids[:-1], ids[1:]), NONE)
         done_ids, done_words = [ids[:0]], [word[:0]]
         while len(ids):  # in each word all pairs of its lowest rank are merged
-            rank = np.full(len(ids), NONE, dtype=np.int32)
-            rank[:-1] = np.where(word[:-1] == word[1:], self.ranks(ids[:-1], ids[1:]), NONE)
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             lowest = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.r_[first, len(ids)]))
             over = lowest == NONE
@@ -140,15 +165,17 @@ class Merges:
                 begins = np.r_[True, np.diff(at) != 1]
                 run = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
                 at = at[(np.arange(len(at)) - run) % 2 == 0]
-            ids = ids.copy()
             ids[at] = self.merges[rank[at], 2]
             keep = np.ones(len(ids), dtype=bool)
             keep[at + 1] = False
-            ids, word = ids[keep], word[keep]
+            ids, word, rank = ids[keep], word[keep], rank[keep]
+            at = at - np.arange(len(at))  # where the merged tokens are now
+            rank[at] = NONE
+            near = np.concatenate([at, at - 1])
+            near = near[(near >= 0) & (near + 1 < len(ids))]
+            rank[near] = np.where(word[near] == word[near + 1], self.ranks(ids[near], ids[near + 1]), NONE)
         ids, word = np.concatenate(done_ids), np.concatenate(done_words)
-        order = np.argsort(word, kind="stable")
-        ends = np.cumsum(np.bincount(word, minlength=len(words)))
-        return ids[order], [0, *ends.tolist()]
+        return ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(sizes))
 
 
 class Run:
@@ -177,89 +204,111 @@ class Run:
         return out
 
 
-def as_tuples(ids: np.ndarray, ends: list[int]) -> list[tuple[int, ...]]:
-    each = ids.tolist()
-    return [tuple(each[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-
-
-def as_bytes(kind: np.dtype):
-    """Packs words' ids as bytes of a type of number."""
-
-    def pack(ids: np.ndarray, ends: list[int]) -> list[bytes]:
-        raw, size = ids.astype(kind).tobytes(), kind.itemsize
-        return [raw[a * size : b * size] for a, b in zip(ends, ends[1:], strict=False)]
-
-    return pack
-
-
 class Encoder:
-    """Texts to token ids, with the tokens of words seen before kept up to a bound.
+    """Texts to token ids, with the tokens of words seen before kept up to a bound."""
 
-    pack makes of words' ids, one after another, and their ends what is kept and handed out for each word.
-    """
+    #: Words kept, and ids of all of them; bytes of the longest word merged with others; characters handled at once.
+    KEPT, IDS, LONG, PART = 1_600_000, 1 << 23, 256, 1 << 20
 
-    #: Words kept, bytes of the longest word kept, characters handled at once.
-    KEPT, LONG, PART = 600_000, 256, 1 << 20
-
-    def __init__(self, merges: Merges, pack=as_tuples, kept: int | None = None):
-        self.merges, self.known, self.pack, self.kept = merges, {}, pack, kept or self.KEPT
-        self.special = {s: pack(np.array([i], dtype=np.int32), [0, 1])[0] for s, i in merges.special.items()}
-
-    def learn(self, words: set[str]) -> dict:
-        """The packed ids of words; those that aren't too long are known from now on."""
-        if len(self.known) + len(words) > self.kept:
-            self.known.clear()
-        raw = {w: w.encode("utf-8", "surrogatepass") for w in words}
-        long = {w: self._long(b) for w, b in raw.items() if len(b) > self.LONG}
-        for w in long:
-            del raw[w]
-        new = dict(zip(raw, self.pack(*self.merges.merge_words(list(raw.values()))), strict=True))
-        self.known.update(new)
-        return new | long if long else new
-
-    def _long(self, word: bytes):
-        run = Run(self.merges)
-        ids = [*run.feed(word), *run.finish()]
-        return self.pack(np.array(ids, dtype=np.int32), [0, len(ids)])[0]
-
-    def encode_word(self, word: str):
-        return self.known.get(word) or self.learn({word})[word]
-
-    def parts(self, text: str):
-        """Stretches of the text that can be split into words each by itself: they end where a space follows a character that is none."""
-        at = 0
-        while len(text) - at > self.PART:
-            cut = re.compile(f"[^{SPACES}](?=[{SPACES}])").search(text, at + self.PART)
-            if cut is None:
-                break
-            yield text[at : cut.end()]
-            at = cut.end()
-        yield text[at:]
-
-    def encode(self, texts: list[str]) -> list[list]:
-        """For each text the packed ids of its words, in order."""
-        split: list[tuple[int, list[str] | str]] = []
+    def __init__(self, merges: Merges):
+        self.merges, self.table = merges, WordTable()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.table.clear()
+        self.pool, self.used = np.zeros(1 << 16, dtype=np.int32), 0
+        self.first, self.size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int32)
+
+    def _learn(self, known: int, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Takes the ids of words whose rows follow those known."""
+        size = end - begin
+        short = size <= self.LONG
+        ids, counts = self.merges.merged(spread(data, begin[short], size[short]), size[short])
+        if not short.all():
+            parts, at = [], 0
+            sizes = iter(counts.tolist())
+            for plain, a, b in zip(short.tolist(), begin.tolist(), end.tolist(), strict=True):
+                if plain:
+                    n = next(sizes)
+                    parts.append(ids[at : at + n])
+                    at += n
+                else:
+                    run = Run(self.merges)
+                    parts.append(np.array([*run.feed(data[a:b].tobytes()), *run.finish()], dtype=np.int32))
+            ids, counts = np.concatenate(parts), np.array([len(p) for p in parts])
+        stop = known + len(begin)
+        self.pool = _roomy(self.pool, self.used, self.used + len(ids))
+        self.first, self.size = _roomy(self.first, known, stop), _roomy(self.size, known, stop)
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.size[known:stop] = counts
+        self.first[known:stop] = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
+
+    def of_words(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and how many each has."""
+        if self.table.n > self.KEPT or self.used > self.IDS:
+            self._forget()
+        known = self.table.n
+        rows, new = self.table.rows(data, begin, end)
+        if len(new):
+            self._learn(known, data, begin[new], end[new])
+        sizes = self.size[rows]
+        return spread(self.pool, self.first[rows], sizes), sizes
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has."""
+        names = self.merges.special
+        pieces: list[str] = []
+        owner, name = [], []  # the text that a piece is of, and the special token behind it
         for k, text in enumerate(texts):
-            pieces = self.merges.special_pattern.split(text) if any(s in text for s in self.merges.special) else [text]
-            for j, piece in enumerate(pieces):
-                split += [(k, piece)] if j % 2 else [(k, split_words(part)) for part in self.parts(piece)]
-        out: list[list] = [[] for _ in texts]
-        holes: list[tuple[int, int, str]] = []
-        get = self.known.get
-        for k, s in split:
-            mine = out[k]
-            if isinstance(s, str):
-                mine.append(self.special[s])
-                continue
-            found = list(map(get, s))
-            if None in found:
-                begin = len(mine)
-                holes += [(k, begin + j, s[j]) for j, x in enumerate(found) if x is None]
-            mine += found
-        made = self.learn({w for _, _, w in holes}) if holes else {}
-        for k, j, w in holes:
-            out[k][j] = made[w]
-        return out
+            split = self.merges.special_pattern.split(text) if any(s in text for s in names) else [text]
+            pieces += split[::2]
+            owner += [k] * len(split[::2])
+            name += [*(names[s] for s in split[1::2]), -1]
+        data, edges = joined([p.encode("utf-8", "surrogatepass") for p in pieces])
+        begin = word_starts(data, edges)
+        ids, sizes = self.of_words(data, begin, np.append(begin[1:], edges[-1]))
+        before = np.append(0, np.cumsum(sizes))[np.searchsorted(begin, edges)]
+        counts, named = np.diff(before), np.array(name, dtype=np.int32)
+        has = np.flatnonzero(named >= 0)
+        if len(has):
+            ids = np.insert(ids, before[1:][has], named[has])
+            counts[has] += 1
+            counts = np.bincount(owner, counts, minlength=len(texts)).astype(np.int64)
+        return ids, counts
+
+    def encode(self, texts: list[str]) -> list[list[np.ndarray]]:
+        """For each text its ids, as stretches in order."""
+        ids, counts = self.ids(texts)
+        ends = np.cumsum(counts).tolist()
+        return [[ids[a:b]] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def stream(self, texts: list[str]):
+        """(places of texts, their ids one after another, how many each has), so that every text's ids come in order.
+
+        Texts of up to PART characters come together; a longer one goes through a transducer, PART at a time, and its
+        ids come as they are stable.
+        """
+        short = [k for k, t in enumerate(texts) if len(t) <= self.PART]
+        if short:
+            yield (short, *self.ids([texts[k] for k in short]))
+        for k, text in enumerate(texts):
+            if len(text) > self.PART:
+                one = Stream(self)
+                for at in range(0, len(text), self.PART):
+                    ids = one.feed(text[at : at + self.PART])
+                    yield [k], np.array(ids, dtype=np.int32), np.array([len(ids)])
+                ids = one.finish()
+                yield [k], np.array(ids, dtype=np.int32), np.array([len(ids)])
+
+
+def _roomy(values: np.ndarray, used: int, wanted: int) -> np.ndarray:
+    """values, in an array of twice the room if they are to be more than it holds."""
+    if wanted <= len(values):
+        return values
+    out = np.zeros(max(wanted, 2 * len(values)), dtype=values.dtype)
+    out[:used] = values[:used]
+    return out
 
 
 class Stream:
@@ -272,37 +321,38 @@ class Stream:
     def __init__(self, encoder: Encoder):
         self.encoder, self.merges, self.held = encoder, encoder.merges, ""
         self.run: Run | None = None
-        self.kind = None
+        self.kind = OTHER
 
     def _plain(self, text: str, last: bool) -> list[int]:
         """Ids of the settled words of text; what isn't settled is held."""
         out: list[int] = []
+        raw = text.encode("utf-8", "surrogatepass")
         if self.run is not None:
-            end = self.kind.match(text).end()
-            blank = self.kind.match(" ").end() > 0
-            if end == len(text) and not last:
-                end -= bool(blank and end)
-                out += self.run.feed(text[:end].encode())
-                self.held = text[end:]
+            other = np.flatnonzero(kinds(np.frombuffer(raw, dtype=np.uint8)) != self.kind)
+            end = int(other[0]) if len(other) else len(raw)
+            if self.kind == SPACE and end and not (last and end == len(raw)):
+                end = _before_last(raw, end)  # it belongs to what follows, or may
+            out += self.run.feed(raw[:end])
+            if not len(other) and not last:
+                self.held = raw[end:].decode("utf-8", "surrogatepass")
                 return out
-            if blank and end and end < len(text):
-                end -= 1  # the last space belongs to what follows
-            out += self.run.feed(text[:end].encode()) + self.run.finish()
-            self.run, text = None, text[end:]
-        words = split_words(text)
-        kept = [] if last else words[-2:]
-        for w in words[: len(words) - len(kept)]:
-            out += self.encoder.encode_word(w)
-        if kept and len(kept[-1]) > self.encoder.LONG:
-            for w in kept[:-1]:
-                out += self.encoder.encode_word(w)
-            self.kind = _kind_of(kept[-1][-1])
-            self.run = Run(self.merges)
-            end = len(kept[-1]) - (self.kind.match(" ").end() > 0)
-            out += self.run.feed(kept[-1][:end].encode())
-            self.held = kept[-1][end:]
-        else:
-            self.held = "".join(kept)
+            out += self.run.finish()
+            self.run, raw = None, raw[end:]
+        data, edges = joined([raw])
+        begin = word_starts(data, edges)
+        end = np.append(begin[1:], len(raw))
+        settled = len(begin) if last else max(0, len(begin) - 2)
+        long = settled < len(begin) and end[-1] - begin[-1] > self.encoder.LONG
+        if long:
+            settled = len(begin) - 1
+        out += self.encoder.of_words(data, begin[:settled], end[:settled])[0].tolist()
+        rest = raw[begin[settled] if settled < len(begin) else len(raw) :]
+        if long:
+            self.kind, self.run = int(kinds(data[: len(raw)])[-1]), Run(self.merges)
+            cut = _before_last(rest, len(rest)) if self.kind == SPACE else len(rest)
+            out += self.run.feed(rest[:cut])
+            rest = rest[cut:]
+        self.held = rest.decode("utf-8", "surrogatepass")
         return out
 
     def feed(self, piece: str) -> list[int]:
@@ -325,23 +375,27 @@ class Stream:
         return out
 
 
-@lru_cache(8)
-def _kind_of(c: str):
-    """A pattern of the characters that go on the run that c ends."""
-    letters, numbers = _class("L", sys.maxunicode + 1), _class("N", sys.maxunicode + 1)
-    kinds = [f"[{letters}]*", f"[{numbers}]*", f"[{SPACES}]*", f"[^{SPACES}{letters}{numbers}]*"]
-    return next(p for p in map(re.compile, kinds) if p.match(c).end())
+def _before_last(raw: bytes, end: int) -> int:
+    """Where the character begins that ends at `end`."""
+    end -= 1
+    while raw[end] & 0xC0 == 0x80:
+        end -= 1
+    return end
 
 
 class Decoder:
     """Token ids to text, a piece at a time: bytes wait until they make a character; what can't becomes U+FFFD."""
 
     def __init__(self, merges: Merges):
-        self.bytes_of = merges.token_bytes.__getitem__
+        self.merges = merges
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids) -> str:
-        return self.state.decode(b"".join(map(self.bytes_of, ids)))
+        return self.take(self.merges.bytes_of(np.asarray(ids, dtype=np.int64)).tobytes())
+
+    def take(self, raw: bytes) -> str:
+        """The text of bytes of tokens."""
+        return self.state.decode(raw)
 
     def finish(self) -> str:
         out = self.state.decode(b"", True)

@@ -11,9 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import arrow, bpe
 from .shared import documents
-
-#: Ids that the decoder takes at once; how ids are held.
-BLOCK, IDS = 1 << 16, np.dtype("<i4")
+from .words import spread
 
 
 def described(path: str) -> str:
@@ -27,13 +25,12 @@ def merges_of(text: str) -> bpe.Merges:
 
 
 def encoder_of(text: str) -> bpe.Encoder:
-    """The worker's encoder; the ids of a word are kept as bytes."""
-    return arrow.once(("encoder", hash(text)), lambda: bpe.Encoder(merges_of(text), bpe.as_bytes(IDS)))
+    """The worker's encoder, which knows the words of all that the worker has read, up to its bound."""
+    return arrow.once(("encoder", hash(text)), lambda: bpe.Encoder(merges_of(text)))
 
 
-def _id_lists(streams: list[bytes]) -> pa.ListArray:
-    offsets = np.cumsum([0, *(len(s) // IDS.itemsize for s in streams)])
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(streams), dtype=IDS)))
+def _id_lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
 def encode(docs: DataFrame, path: str, *keep: str) -> DataFrame:
@@ -43,38 +40,66 @@ def encode(docs: DataFrame, path: str, *keep: str) -> DataFrame:
     def run(batches):
         encoder = encoder_of(shared.value)
         for part, texts in arrow.slices(batches):
-            streams = [b"".join(words) for words in encoder.encode(texts)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _id_lists(streams)], [*keep, "token_ids"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _id_lists(*encoder.ids(texts))], [*keep, "token_ids"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return arrow.map_texts(docs.select(*keep, "text"), run, f"{fields}, token_ids array<int>")
 
 
+class _Numbers:
+    """Ids in decimal with a comma behind each, as one array of bytes."""
+
+    def __init__(self, size: int):
+        each = [b"%d," % k for k in range(size)]
+        self.blob, self.width = np.frombuffer(b"".join(each), dtype=np.uint8), np.array([len(x) for x in each], dtype=np.int64)
+        self.place = np.cumsum(self.width) - self.width
+
+
+class _Seen:
+    """What is known of a text whose ids come in stretches: their number and the digests of names and of decoded text."""
+
+    def __init__(self, merges: bpe.Merges):
+        self.n, self.decoder, self.named, self.decoded = 0, bpe.Decoder(merges), hashlib.sha256(), hashlib.sha256()
+
+    def take(self, n: int, names: np.ndarray, raw: np.ndarray) -> None:
+        if n:
+            self.named.update(b"," if self.n else b"")
+            self.named.update(names[:-1])  # but for the last comma
+            self.decoded.update(self.decoder.take(raw.tobytes()).encode())
+            self.n += n
+
+    def row(self) -> tuple[int, str, str]:
+        self.decoded.update(self.decoder.finish().encode())
+        return self.n, self.named.hexdigest(), self.decoded.hexdigest()
+
+
 def round_trip(docs: DataFrame, path: str, *keep: str, with_ids: bool = False) -> DataFrame:
     """The `keep` columns with n_tokens, ids_sha256 (of decimal ids, comma-joined) and decoded_sha256, and token_ids if asked for.
 
     A null text is an empty one: no tokens, hashes of nothing. A name of a special token in a text is that token, as
-    the tokenizer file has it. Memory follows the longest text, not the number of rows; copies and repeated rows are
-    encoded each by itself, from words kept in a bounded table. An empty table gives no rows.
+    the tokenizer file has it. A long text goes through the transducer a part at a time, and its ids to the digests and
+    the decoder as they come; only token_ids holds all of them. Copies and repeated rows are encoded each by itself, from
+    words kept in a bounded table. The kept columns may have any names but those three (and token_ids, if asked for). An
+    empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(described(path))
 
     def run(batches):
         merges, encoder = merges_of(shared.value), encoder_of(shared.value)
-        names = arrow.once(("names", merges.size), lambda: list(map(str, range(merges.size))))
+        names = arrow.once(("names", merges.size), lambda: _Numbers(merges.size))
         for part, texts in arrow.slices(batches):
-            streams, rows = [b"".join(words) for words in encoder.encode(texts)], []
-            for stream in streams:
-                ids = np.frombuffer(stream, dtype=IDS)
-                decoder, named, decoded = bpe.Decoder(merges), hashlib.sha256(), hashlib.sha256()
-                for k in range(0, len(ids), BLOCK):
-                    block = ids[k : k + BLOCK].tolist()
-                    named.update((b"," if k else b"") + ",".join(map(names.__getitem__, block)).encode())
-                    decoded.update(decoder.feed(block).encode())
-                decoded.update(decoder.finish().encode())
-                rows.append((len(ids), named.hexdigest(), decoded.hexdigest()))
-            made = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
-            made += [_id_lists(streams)] if with_ids else []
+            seen, whole = [_Seen(merges) for _ in texts], [[] for _ in texts] if with_ids else None
+            for places, ids, counts in encoder.stream(texts):
+                ends = np.cumsum(counts)
+                wide, width = np.append(0, np.cumsum(names.width[ids])), np.append(0, np.cumsum(merges.width[ids]))
+                written, raw = spread(names.blob, names.place[ids], names.width[ids]), merges.bytes_of(ids)
+                for k, a, b in zip(places, (ends - counts).tolist(), ends.tolist(), strict=True):
+                    seen[k].take(b - a, written[wide[a] : wide[b]], raw[width[a] : width[b]])
+                    if with_ids:
+                        whole[k].append(ids[a:b])
+            made = [pa.array(x, t) for x, t in zip(zip(*(s.row() for s in seen), strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+            if with_ids:
+                made.append(_id_lists(np.concatenate([x for each in whole for x in each]), np.array([sum(map(len, each)) for each in whole])))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], [*keep, "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"][: len(keep) + len(made)])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)

@@ -41,6 +41,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, system = _at(spark, path)
+    system.delete(at, True)
+
+
+def move(spark: SparkSession, old: str, new: str) -> bool:
+    """Gives a folder another name; False where there is none."""
+    at, system = _at(spark, old)
+    return bool(system.exists(at)) and bool(system.rename(at, _at(spark, new)[0]))
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Deletes the tables that are written inside, but for what the given function writes.
@@ -58,8 +74,7 @@ def scratch(spark: SparkSession):
         yield keep
     finally:
         for path in [p for p in _paths[begin:] if p not in kept]:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            delete(spark, path)
             _paths.remove(path)
 
 

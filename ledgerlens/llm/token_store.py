@@ -20,17 +20,18 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from . import arrow, bpe
-from .bpe_codec import described, merges_of
-from .shared import documents, new_path, ranked
+from . import arrow
+from .bpe_codec import described, encoder_of, merges_of
+from .shared import delete, documents, move, new_path, ranked, scratch
 
 LEAST, MOST, MASK_BITS = 64, 4096, 9
 FANOUT = 4096
-#: Words whose ids an encoder keeps.
-KEPT = 1_600_000
 PACKED = {"compression": "zstd"}
 POLYNOMIAL = 0xEDB88320  # of CRC-32, reflected
 
@@ -116,43 +117,62 @@ def shift_crc(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 
 
 def chunked(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, keys, sizes, root and payloads of every document, end_id after its ids.
+    """A row (table `recipes`) for every document, end_id after its ids, and one (table `chunks`) for each of its chunks.
 
-    A task gives a chunk's bytes where it has the chunk first, and null after that; within a document with the chunk
-    twice, both times. It holds the names that it has given, in proportion to the part of the input that it reads.
+    A task gives a chunk where it has it first. It holds the names that it has given, in proportion to the part of the
+    input that it reads. place: of a chunk a part of its name, of a recipe a number of its own.
     """
     shared = docs.sparkSession.sparkContext.broadcast(described(path))
 
     def run(batches):
-        merges = merges_of(shared.value)
-        kind = np.dtype("<u2" if max(merges.size, end_id + 1) <= 1 << 16 else "<u4")
-        encoder = arrow.once(("store", hash(shared.value), kind.itemsize), lambda: bpe.Encoder(merges, bpe.as_bytes(kind), KEPT))
+        merges, encoder = merges_of(shared.value), encoder_of(shared.value)
         n = max(merges.size, end_id + 1)
+        kind = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         gear = arrow.once(("gear", n), lambda: _gear(n))
-        end = np.array([end_id], dtype=kind).tobytes()
         given: set[bytes] = set()
+        row = TaskContext.get().partitionId() << 40
         for part, texts in arrow.slices(batches):
-            streams = [b"".join(words) + end for words in encoder.encode(texts)]
-            lengths = [len(s) // kind.itemsize for s in streams]
-            ids = np.frombuffer(b"".join(streams), dtype=kind)
-            wide = ids.astype("<u4")
+            ids, counts = encoder.ids(texts)
+            ids = np.insert(ids, np.cumsum(counts), end_id)
+            lengths = (counts + 1).tolist()
+            narrow, wide = ids.astype(kind), ids.astype("<u4")
             ends = np.flatnonzero(rolling(ids, gear) >> np.uint32(32 - MASK_BITS) == 0) + 1
-            keys, sizes, roots, payloads, begin = [], [], [], [], 0
-            for n, mine in zip(lengths, cuts(ends, lengths), strict=True):
+            keys, sizes, roots, begin = [], [], [], 0
+            new: list[tuple[bytes, int, bytes]] = []
+            for n_ids, mine in zip(lengths, cuts(ends, lengths), strict=True):
                 edges = [begin, *(begin + e for e in mine)]
-                spans = list(zip(edges, edges[1:], strict=False))
-                names = [hashlib.sha256(wide[a:b]).digest() for a, b in spans]
+                names = []
+                for a, b in zip(edges, edges[1:], strict=False):
+                    names.append(hashlib.sha256(wide[a:b]).digest())
+                    if names[-1] not in given:
+                        given.add(names[-1])
+                        new.append((names[-1], b - a, narrow[a:b].tobytes()))
                 keys.append(names)
-                sizes.append([b - a for a, b in spans])
-                payloads.append([None if name in given else ids[a:b].tobytes() for name, (a, b) in zip(names, spans, strict=True)])
-                given.update(names)
+                sizes.append([b - a for a, b in zip(edges, edges[1:], strict=False)])
                 roots.append(merkle(names))
-                begin += n
-            columns = [part.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(keys, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(roots, pa.binary()), pa.array(payloads, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "keys", "sizes", "root", "payloads"])
-
+                begin += n_ids
+            recipes = {"doc_id": part.column("doc_id"), "n_tokens": pa.array(lengths, pa.int64()), "keys": pa.array(keys, pa.list_(pa.binary())), "sizes": pa.array(sizes, pa.list_(pa.int32())), "root": pa.array(roots, pa.binary())}
+            yield _padded("recipes", np.arange(row, row + len(lengths)), recipes, fields)
+            row += len(lengths)
+            if new:
+                key, size, payload = zip(*new, strict=True)
+                place = np.frombuffer(b"".join(k[:8] for k in key), dtype="<i8")
+                yield _padded("chunks", place, {"key": pa.array(key, pa.binary()), "n": pa.array(size, pa.int32()), "payload": pa.array(payload, pa.binary())}, fields)
+
+    rows = docs.select("doc_id", "text")
+    fields = to_arrow_schema(StructType([docs.schema["doc_id"]]))
+    fields = [pa.field("table", pa.string()), pa.field("place", pa.int64()), fields.field(0), *(pa.field(n, t) for n, t in PARTS.items())]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow.map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, keys array<binary>, sizes array<int>, root binary, payloads array<binary>")
+    return arrow.map_texts(rows, run, f"table string, place long, doc_id {kind}, n_tokens long, keys array<binary>, sizes array<int>, root binary, key binary, n int, payload binary")
+
+
+PARTS = {"n_tokens": pa.int64(), "keys": pa.list_(pa.binary()), "sizes": pa.list_(pa.int32()), "root": pa.binary(), "key": pa.binary(), "n": pa.int32(), "payload": pa.binary()}
+
+
+def _padded(table: str, place: np.ndarray, columns: dict[str, pa.Array], fields: list[pa.Field]) -> pa.RecordBatch:
+    """Rows of one of the tables, with nulls in the columns of the other."""
+    have = {"table": pa.array([table] * len(place)), "place": pa.array(place)} | columns
+    return pa.RecordBatch.from_arrays([have[f.name] if f.name in have else pa.nulls(len(place), f.type) for f in fields], [f.name for f in fields])
 
 
 def folded(nodes: DataFrame) -> DataFrame:
@@ -167,23 +187,29 @@ class TokenStore:
         self.spark, self.path = spark, path
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        """One of the store's tables, its own columns only."""
+        rows = self.spark.read.parquet(f"{self.path}/{name}")
+        return rows.select("key", "n", "payload") if name == "chunks" else rows
 
     def write(self, docs: DataFrame, tokenizer: str, end_id: int) -> None:
         """Encodes docs and writes the store. A null text has the end id alone; repeated rows are documents of their own.
 
-        Texts are encoded once, into a staging table of which later steps read the columns they need. Copies of a
-        chunk meet after each task has left out its own, so a chunk that a third of all documents have is no hot key.
+        Texts are encoded once, and chunks and recipes moved once: copies of a chunk meet after each task has left out
+        its own, so a chunk that a third of all documents have is no hot key. Rows with one doc_id stand next to each
+        other, in no fixed order; a null one stands before all. Texts are whole: a task holds the ids of the longest.
+        Other columns of docs are not looked at. An empty table gives a store without rows.
         """
-        staging = f"{self.path}/staging"
-        chunked(docs, tokenizer, end_id).write.options(**PACKED).parquet(staging)
-        made = self.table("staging")
-        pieces = made.select(F.explode(F.filter(F.arrays_zip("keys", "sizes", "payloads"), lambda x: x["payloads"].isNotNull())).alias("x"))
-        pieces = pieces.select(F.col("x.keys").alias("key"), F.col("x.sizes").alias("n"), F.col("x.payloads").alias("payload"))
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        pieces.repartition(n, "key").dropDuplicates(["key"]).write.options(**PACKED).parquet(f"{self.path}/chunks")
-        recipes = ranked(made.drop("payloads"), ["doc_id"], "recipes", weight="n_tokens")
-        recipes.select("rank", "doc_id", F.col("before").alias("start"), "n_tokens", "keys", "sizes", "root").write.parquet(f"{self.path}/recipes")
+        made = f"{self.path}/made"
+        rows = chunked(docs, tokenizer, end_id).repartition("place").dropDuplicates(["place", "key"])
+        rows.drop("place").write.options(**PACKED).partitionBy("table").parquet(made)
+        kept = self.spark.read.schema(rows.drop("place").schema).parquet(made)
+        with scratch(self.spark):
+            recipes = kept.filter("table = 'recipes'").select("doc_id", "n_tokens", "keys", "sizes", "root")
+            recipes = ranked(recipes, ["doc_id"], "recipes", weight="n_tokens")
+            recipes.select("rank", "doc_id", F.col("before").alias("start"), "n_tokens", "keys", "sizes", "root").write.parquet(f"{self.path}/recipes")
+        if not move(self.spark, f"{made}/table=chunks", f"{self.path}/chunks"):
+            kept.filter("table = 'chunks'").select("key", "n", "payload").write.parquet(f"{self.path}/chunks")  # there are none
+        delete(self.spark, made)
         self._manifest()
 
     def _manifest(self) -> None:
@@ -249,8 +275,7 @@ class TokenStore:
 
     def verified(self) -> DataFrame:
         """doc_id, start, n_tokens, ids_crc32 and whole (every chunk is there, under its true name and size, the recipe
-        gives its root and count, and the manifest has the root).
-
+XX
         CRC-32 is linear: a document's is the exclusive or of its chunks', each shifted by the bytes behind it. So only
         digests of the stored chunks move, never their ids.
         """
@@ -260,13 +285,13 @@ class TokenStore:
                 crc = shift_crc(batch.column("crc").to_numpy(zero_copy_only=False), 4 * batch.column("after").to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(crc, pa.int64())], [*keep, "crc"])
 
-        keep = ["rank", "doc_id", "start", "n_tokens", "good"]
+        keep = ["rank", "doc_id", "start", "has", "good"]
         found = self.chunk_digests().withColumnRenamed("n", "has")
         joined = self.placed(self.sound_recipes()).join(found, "key", "left")
-        joined = joined.select("rank", "doc_id", "start", "n_tokens", F.coalesce(F.col("sound") & (F.col("has") == F.col("n")), F.lit(False)).alias("good"), F.coalesce("crc", F.lit(0)).alias("crc"), "after")
+        joined = joined.select("rank", "doc_id", "start", F.coalesce("has", F.lit(0)).cast("long").alias("has"), F.coalesce(F.col("sound") & (F.col("has") == F.col("n")), F.lit(False)).alias("good"), F.coalesce("crc", F.lit(0)).alias("crc"), "after")
         kind = self.table("recipes").schema["doc_id"].dataType.simpleString()
-        shifted = joined.mapInArrow(run, f"rank long, doc_id {kind}, start long, n_tokens long, good boolean, crc long")
-        out = shifted.groupBy("rank", "doc_id", "start", "n_tokens").agg(F.expr("bit_xor(crc)").alias("ids_crc32"), F.bool_and("good").alias("good"))
+        shifted = joined.mapInArrow(run, f"rank long, doc_id {kind}, start long, has long, good boolean, crc long")
+        out = shifted.groupBy("rank", "doc_id", "start").agg(F.sum("has").alias("n_tokens"), F.expr("bit_xor(crc)").alias("ids_crc32"), F.bool_and("good").alias("good"))
         out = out.withColumn("block", F.floor(F.col("rank") / FANOUT)).join(self.listed(), "block", "left")
         return out.select("doc_id", "start", "n_tokens", "ids_crc32", (F.col("good") & F.coalesce("listed", F.lit(False))).alias("whole"))
 
