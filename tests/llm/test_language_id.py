@@ -35,7 +35,7 @@ def test_forward_sums_all_segmentations_and_expected_counts_add_up():
     p /= p.sum(0)
     words = ["the", "a", "überall", "漢字x", "zzzzqq", "information"]
     lattice = L.Lattice(words, ids)
-    got = lattice.totals(lattice.forward(p))
+    got = lattice.totals(p)
     for k, w in enumerate(words):
         for g in range(2):
             assert math.isclose(got[k, g], all_segmentations("▁" + w, ids, p[:, g]), rel_tol=1e-9)
@@ -69,8 +69,44 @@ def test_nothing_to_learn_and_empty_table(spark, make_docs):
 def test_words_are_forgotten(spark, make_docs, monkeypatch, kept):
     _, docs = make_docs([text("en", 1), text("de", 2)], langs=["en", "de"])
     model = L.learn(docs, PATH)
-    texts = [L.words_of(text(("en", "de")[k % 2], k)) for k in range(20)]
-    whole = [model.text_scores([t])[0] for t in texts]
+    texts = [text(("en", "de")[k % 2], k) for k in range(20)]
+    whole = [model.text_scores([t])[0][0] for t in texts]
     monkeypatch.setattr(L, "KEPT", kept)
-    model.row.clear()
-    assert np.allclose(whole, [model.text_scores([t])[0] for t in texts])
+    assert np.allclose(whole, [model.text_scores([t])[0][0] for t in texts])
+    assert np.allclose(whole, model.text_scores(texts)[0])
+
+
+def test_words_are_runs_of_letters_and_their_marks():
+    assert L.words_of("½ ² Ⅳ 12 _ \u0301") == [] and L.words_of("") == []
+    assert L.words_of("Äpfel,हिन्दी 漢字x1y") == ["äpfel", "हिन्दी", "漢字x", "y"]
+    *_, counts = L.word_places(["a b", "", "½ ²", "c"])
+    assert counts.tolist() == [2, 0, 0, 1]
+
+
+def test_letterless_texts_are_und(spark, make_docs):
+    texts = ["the of and", "der die das"] * 3 + ["½ ²", "Ⅳ", "\u0301", "हिन्दी"]
+    _, docs = make_docs(texts, langs=["en", "de"] * 5)
+    rows = {r.doc_id: r for r in L.predict(docs, L.learn(docs, PATH)).collect()}
+    assert [rows[k].lang_pred == "und" for k in range(10)] == [False] * 6 + [True] * 3 + [False]
+    assert [rows[k].score for k in (6, 7, 8)] == [0.0] * 3
+
+
+@pytest.mark.parametrize("stretch", [16, 17, 40, 1 << 13])
+def test_long_words_are_summed_whole(monkeypatch, stretch):
+    monkeypatch.setattr(L, "STRETCH", stretch)
+    pieces = L.vocabulary(PATH)
+    ids = {s: k + 1 for k, s in enumerate(pieces)}
+    p = np.random.default_rng(2).random((len(ids) + 1, 2))
+    p /= p.sum(0)
+    r = random.Random(3)
+    words = ["information" * 9 + "x", "".join(r.choice("etaoin漢字ü") for _ in range(100)), "a"]
+    got = L.Lattice(words, ids).log_totals(L.with_none(p))
+    for k, w in enumerate(words):
+        w = "▁" + w
+        for g in range(2):  # the same sums, place by place and in order
+            sums = [0.0]
+            for t in range(1, len(w) + 1):
+                parts = [(i, ids.get(w[i:t], 0 if t - i == 1 else None)) for i in range(max(0, t - L.PIECE), t)]
+                terms = [sums[i] + math.log(p[n, g]) for i, n in parts if n is not None]
+                sums.append(max(terms) + math.log(sum(math.exp(x - max(terms)) for x in terms)))
+            assert math.isclose(got[k, g], sums[-1], rel_tol=1e-9)
