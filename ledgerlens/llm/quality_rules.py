@@ -9,6 +9,7 @@ conditional expression.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 from .shared import NOT_SPACE, documents, let, materialize, table
 
 WINDOW = 5
-SPACE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Labelled rows that are learned from, in expectation; thresholds tried for each statistic; rules and comparisons at most.
 SAMPLE, STEPS, RULES, TERMS = 20_000, 24, 16, 4
@@ -25,15 +25,21 @@ SAMPLE, STEPS, RULES, TERMS = 20_000, 24, 16, 4
 PRECISION, SUPPORT = 0.95, 4
 
 
-def repeat_words(words: Column) -> Column:
-    """How many words lie in windows of five that are found twice or more.
+def window_hashes(hashes: Column, n: Column) -> Column:
+    """The hashes of all windows of five in n (five or more) numbers: of two, of two such pairs, and of those and one more."""
+    meet = lambda a, b, shift, k: F.zip_with(F.slice(a, 1, k), F.slice(b, 1 + shift, k), lambda x, y: F.xxhash64(x, y))
+    return let(meet(hashes, hashes, 1, n - 1), lambda twos: meet(meet(twos, twos, 2, n - 3), hashes, 4, n - 4))
 
-    Windows are compared by 64-bit hashes. A repeated window that begins at a place covers as many words more as lie
-    between it and the next that is repeated, five at most.
+
+def repeat_words(hashes: Column) -> Column:
+    """How many words lie in windows of five that are found twice or more. hashes: of the words, 64 bits each.
+
+    A repeated window that begins at a place covers as many words more as lie between it and the next that is repeated,
+    five at most.
     """
 
-    def covered(hashes: Column) -> Column:
-        marked = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    def covered(windows: Column) -> Column:
+        marked = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def places(pairs: Column) -> Column:
             same = lambda a, b: F.coalesce(F.get(pairs, a)["h"] == F.get(pairs, b)["h"], F.lit(False))
@@ -45,37 +51,36 @@ def repeat_words(words: Column) -> Column:
 
         return let(marked, lambda pairs: let(places(pairs), total))
 
-    many = F.size(words) - (WINDOW - 1)
-    hashes = F.transform(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
-    found = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
-    return F.when(many > 1, found).otherwise(F.lit(0).cast("long"))
+    found = let(window_hashes(hashes, F.size(hashes)), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
+    return F.when(F.size(hashes) > WINDOW, found).otherwise(F.lit(0).cast("long"))
 
 
-def without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+#: What is counted by single characters, as insides of character classes.
+KINDS = {"n_symbols": re.escape(SYMBOLS), "digits": "0-9", "calls": "!?", "stops": ".,;:", "capitals": r"\p{Lu}"}
 
 
 def statistics(docs: DataFrame, *keep: str) -> DataFrame:
-    """The `keep` columns of docs with the counts and ratios of each text; a null text is an empty one."""
+    """The `keep` columns of docs with the counts and ratios of each text; a null text is an empty one.
+
+    A text is split into words once and into lines once, words are hashed once, and one pass leaves the few characters
+    that are counted one by one.
+    """
     text = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE))
-    each = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("repeated"), F.size(F.array_distinct(w)).alias("distinct")))
+    of_words = lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.struct(F.size(h).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeat_words(h).alias("repeated"), F.size(F.array_distinct(h)).alias("distinct")))
     per_line = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("again")))
-    length = lambda characters: F.length(text) - F.length(without(text, characters))
-    rows = docs.select(
-        *keep, each.alias("w"), per_line.alias("l"), F.length(without(text, SPACE_CHARS)).cast("long").alias("word_chars"), length(SYMBOLS).cast("long").alias("n_symbols"),
-        length("0123456789").alias("digits"), length("!?").alias("calls"), length(".,;:").alias("stops"), (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))).alias("capitals"),
-    )
+    counted = let(F.regexp_replace(text, f"[^{''.join(KINDS.values())}]+", ""), lambda c: F.struct(*[F.length(F.regexp_replace(c, f"[^{inside}]+", "")).cast("long").alias(name) for name, inside in KINDS.items()]))
+    rows = docs.select(*keep, let(words, of_words).alias("w"), per_line.alias("l"), counted.alias("c"))
     share = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
-    rows = rows.withColumns({"n_words": F.col("w.n"), "n_repeat_words": F.col("w.repeated"), "n_dup_lines": F.col("l.again"), "distinct": F.col("w.distinct"), "n_lines": F.col("l.n")})
+    rows = rows.withColumns({"n_words": F.col("w.n"), "word_chars": F.col("w.chars"), "n_repeat_words": F.col("w.repeated"), "n_dup_lines": F.col("l.again"), "distinct": F.col("w.distinct"), "n_lines": F.col("l.n")} | {name: F.col(f"c.{name}") for name in KINDS})
     return rows.withColumns(
         {
             "s_words": F.log2(F.col("n_words") + 1), "s_word_length": share("word_chars", "n_words"), "s_symbols": share("n_symbols", "word_chars"), "s_dup_lines": share("n_dup_lines", "n_lines"),
             "s_repeats": share("n_repeat_words", "n_words"), "s_distinct": share("distinct", "n_words"), "s_line": share("n_words", "n_lines"), "s_digits": share("digits", "word_chars"),
             "s_calls": share("calls", "n_words"), "s_stops": share("stops", "n_words"), "s_capitals": share("capitals", "word_chars"),
         }
-    ).drop("w", "l", "digits", "calls", "stops", "capitals", "distinct", "n_lines")
+    ).drop("w", "l", "c", "digits", "calls", "stops", "capitals", "distinct", "n_lines")
 
 
 def base_failed() -> Column:
