@@ -12,6 +12,7 @@ TYPES = {"string": "string", "str": "string", "uint": "uint", "u256": "uint", "e
 #: Characters that may follow a backslash in quotes. Fixed values.
 ESCAPES = {"\\": "\\", "'": "'", '"': '"', ",": ",", "n": "\n", "r": "\r", "t": "\t"}
 KEY = re.compile(r"0x[0-9a-fA-F]{64}")
+NUMBER = re.compile(r"[0-9]+|0x[0-9a-fA-F]+|0o[0-7]+|0b[01]+")
 
 
 class ShorthandError(ValueError):
@@ -58,15 +59,27 @@ def unquote(text: str) -> str:
             raise ShorthandError(f"unknown escape \\{m[1]}")
         return ESCAPES[m[1]]
 
-    return re.sub(r"\\(.|$)", one, text[1:-1], flags=re.S)
+    inside = text[1:-1]
+    if text[0] in inside and "\\" not in inside:
+        raise ShorthandError("a quote inside quotes needs a backslash")
+    return re.sub(r"\\(.|$)", one, inside, flags=re.S)
+
+
+def number_of(text: str) -> str:
+    """A whole number below 2 to the 256, in decimal: decimal digits, or 0x, 0o or 0b and theirs."""
+    found = int(text, 0) if text[:2] in ("0x", "0o", "0b") else int(text)
+    if found >> 256:
+        raise ShorthandError("bad uint")
+    return str(found)
 
 
 def parse_attribute(part: str) -> Attribute:
-    """name=value or name:type=value; the first = divides, and of what stands before it the last colon."""
-    left, equals, value = part.partition("=")
+    """name=value or name:type=value; the first = divides, and of what stands before it the last colon. Space around the
+    three parts doesn't count."""
+    left, equals, value = (x.strip() for x in part.partition("="))
     if not equals or not left or not value:
         raise ShorthandError("expected name=value")
-    name, colon, kind = left.rpartition(":")
+    name, colon, kind = (x.strip() for x in left.rpartition(":"))
     if not colon:
         name, kind = left, None
     if not re.fullmatch(r"[a-z][a-z0-9._-]{0,31}", name):
@@ -74,14 +87,15 @@ def parse_attribute(part: str) -> Attribute:
     quoted = value[0] in "'\""
     if kind is None:
         kind = "string" if quoted else "entityKey" if KEY.fullmatch(value) else "uint"
-        if kind == "uint" and not value.isdigit():
+        if kind == "uint" and not NUMBER.fullmatch(value):
             raise ShorthandError("not a number; quote it to make it a string")
     elif kind not in TYPES:
         raise ShorthandError(f"unknown type {kind!r}")
     kind = TYPES[kind]
     value = unquote(value) if quoted else value
-    if kind == "uint" and not value.isdigit() or kind == "entityKey" and not KEY.fullmatch(value):
+    if kind == "uint" and not NUMBER.fullmatch(value) or kind == "entityKey" and not KEY.fullmatch(value):
         raise ShorthandError(f"bad {kind}")
+    value = number_of(value) if kind == "uint" else value
     if kind == "string" and len(value.encode()) > codecs.STRING_BYTES:
         raise ShorthandError("string too long")
     return Attribute(name, kind, value)
@@ -100,7 +114,7 @@ def parse_weights(text: str) -> list[tuple[str, int]]:
     found = []
     for part in text.split(","):
         name, equals, number = part.strip().partition("=")
-        if not equals or name not in codecs.OPERATIONS[:5] or not number.isdigit():
+        if not equals or name not in codecs.OPERATIONS[:5] or not re.fullmatch("[0-9]+", number):
             raise ShorthandError(f"bad weight {part!r}")
         found.append((name, int(number)))
     if not sum(w for _, w in found):

@@ -6,15 +6,22 @@ references are joined, so a batch may have any number of operations.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs
+from ..operators.running import running
 
 ATTRIBUTE = "struct<name:string,string:string,uint:string,entityKey:string>"
 OPERATION = f"array<struct<type:string,btl:long,entityKey:string,newOwner:string,contentType:string,payload:string,size:int,attributes:array<{ATTRIBUTE}>>>"
 
 
+#: Operations in a span of running counts.
+SPAN = 4096
+
+
 class BatchError(ValueError):
     pass
 
@@ -28,10 +35,14 @@ def read_batch(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_nonces(ops: DataFrame, first_nonce: int, sender: str = "") -> DataFrame:
-    """ops with nonce (creates only, in order) and made_key, the key that a create makes of its sender and nonce."""
-    creates = ops.filter("type = 'create'").select("position")
-    nonce = creates.selectExpr("position as _p", f"row_number() over (order by position) - 1 + {first_nonce} as nonce")
-    out = ops.join(nonce, ops.position == F.col("_p"), "left").drop("_p")
+    """ops with nonce (creates only, in order) and made_key, the key that a create makes of its sender and nonce.
+
+    Creates are counted by spans of positions, and spans by a small window, so no task has all operations.
+    """
+    create = F.coalesce(F.col("type") == "create", F.lit(False))
+    rows = ops.withColumns({"_span": F.floor(F.col("position") / SPAN), "_all": F.lit(0)})
+    rows = running(rows, "_all", "_span", ["position"], {"_nth": F.when(create, 1).otherwise(0)}, {})
+    out = rows.withColumn("nonce", F.when(create, F.col("_nth") - 1 + first_nonce)).drop("_span", "_all", "_nth")
     return out.withColumn("made_key", F.when(F.col("nonce").isNotNull(), F.sha2(F.concat(F.lit(f"{sender}:"), F.col("nonce").cast("string")).cast("binary"), 256)))
 
 
@@ -75,6 +86,46 @@ def alloc_merge(old: DataFrame, new: DataFrame, key: str = "address", value: str
     return joined.select(key, F.coalesce("_new", "_old").alias(value), (F.col("_old").isNotNull() & F.col("_new").isNotNull()).alias("replaced"))
 
 
+def created(btl: int, payload: str | None = None, size: int | None = None, content_type: str | None = None, attributes: list[dict] | None = None) -> dict:
+    """A create, as a batch file has it. Payload: text or 0x hex, or a size, or neither."""
+    if payload is not None and size is not None:
+        raise BatchError("payload and size")
+    return _without_none({"type": "create", "btl": btl, "payload": payload, "size": size, "contentType": content_type, "attributes": attributes})
+
+
+def updated(entity: str, payload: str | None = None, size: int | None = None, content_type: str | None = None, attributes: list[dict] | None = None) -> dict:
+    return created(0, payload, size, content_type, attributes) | {"type": "update", "entityKey": entity, "btl": None}
+
+
+def extended(entity: str, btl: int) -> dict:
+    return {"type": "extend", "entityKey": entity, "btl": btl}
+
+
+def transferred(entity: str, new_owner: str) -> dict:
+    return {"type": "transfer", "entityKey": entity, "newOwner": new_owner}
+
+
+def deleted(entity: str) -> dict:
+    return {"type": "delete", "entityKey": entity}
+
+
+def expired(entity: str) -> dict:
+    return {"type": "expire", "entityKey": entity}
+
+
+def _without_none(found: dict) -> dict:
+    return {k: v for k, v in found.items() if v is not None}
+
+
+def batch_rows(spark: SparkSession, ops: list[dict]) -> DataFrame:
+    """Operations made here as read_batch gives them from a file."""
+    if not ops:
+        raise BatchError("no operations")
+    value = json.dumps([_without_none(o) for o in ops])
+    rows = spark.createDataFrame([(value,)], "value string")
+    return rows.select(F.posexplode(F.from_json("value", OPERATION)).alias("position", "o")).select("position", "o.*")
+
+
 def merge_genesis(genesis: dict, accounts: dict) -> dict:
     """A genesis file's object with accounts merged into alloc, by address; a chain id of 0 is refused."""
     if not genesis.get("config", {}).get("chainId"):
