@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Content types that generated operations use. Fixed values.
-CONTENT_TYPES = ("application/json", "text/plain", "application/octet-stream", "text/markdown", "image/png")
+CONTENT_TYPES = ("application/json", "application/octet-stream", "text/plain", "image/png", "image/jpeg")
 DEFAULT_CONTENT_TYPE = "application/octet-stream"
 #: Operation names in the order of reports. Fixed values.
 OPERATIONS = ("create", "update", "extend", "transfer", "delete", "expire")
@@ -38,6 +38,29 @@ def word_uint(word: Column) -> Column:
     return F.when((high == "0" * 48) & (F.substring(low, 1, 1) < "8"), F.conv(low, 16, 10).cast("long"))
 
 
+def word_text(word: Column) -> Column:
+    """The number of a 32-byte word as text: decimal where a long holds it, else 0x hex without leading zeros."""
+    return F.coalesce(word_uint(word).cast("string"), F.concat(F.lit("0x"), F.lower(F.ltrim(F.hex(word), F.lit("0")))))
+
+
+def hex_word(text: Column) -> Column:
+    """The 32-byte word of a 0x hex text of up to 64 digits, so of any 256-bit number; null if it isn't one."""
+    digits = F.regexp_extract(text, "^0x([0-9a-fA-F]{1,64})$", 1)
+    return F.when(digits != "", F.unhex(F.lpad(digits, 2 * WORD_BYTES, "0")))
+
+
+def parse_u64_decimal(text: Column) -> Column:
+    """The number of a 0x hex text of up to 16 digits, as a decimal that holds all of them; null if it isn't one."""
+    digits = F.regexp_extract(text, "^0x([0-9a-fA-F]{1,16})$", 1)
+    return F.when(digits != "", F.conv(digits, 16, 10).cast("decimal(20,0)"))
+
+
+def hex_u64_decimal(n: Column) -> Column:
+    """0x hex without leading zeros of a decimal from 0 up to, but not including, 2 to the 64; null for others."""
+    d = n.cast("decimal(20,0)")
+    return F.when((d >= 0) & (d < F.lit("18446744073709551616").cast("decimal(20,0)")), F.concat(F.lit("0x"), F.lower(F.conv(d.cast("string"), 10, 16))))
+
+
 def string_container(text: Column) -> Column:
     """UTF-8 bytes, padded with NULs to 128; null if there are more."""
     raw = F.encode(text, "UTF-8")

@@ -6,13 +6,17 @@ hash before, the entity's key and the entity's hash; an empty block has the hash
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.digest import keccak256, keccak_many
 from .running import carry_forward
 
 #: Codes of errors on commit and revert. Fixed values.
 PARENT_MISMATCH, BLOCK_NOT_FOUND, OUT_OF_ORDER, UNKNOWN_ENTITY, INTERNAL, CHANGESET_MISMATCH = -32001, -32002, -32003, -32004, -32005, -32006
+#: The code of any other error of a read. Fixed value.
+READ_ERROR = -32000
 ZERO = "00" * 32
 #: Blocks in a span of what is carried forward.
 SPAN = 1024
@@ -29,6 +33,11 @@ def digest_hex(*parts: Column) -> Column:
     return F.sha2(F.unhex(F.concat(*parts)), 256)
 
 
+def keccak_hex(*parts: Column) -> Column:
+    """Keccak-256 of the same."""
+    return F.lower(F.hex(keccak256(F.unhex(F.concat(*parts)))))
+
+
 def rolling(ops: DataFrame, seed: Column) -> DataFrame:
     """ops (one block's are few) with previous and claimed: the rolling hash before and after each, from a seed for each block."""
     folded = ops.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("position", "entity_key", "entity_hash"))).alias("all"))
@@ -42,19 +51,65 @@ def rolling(ops: DataFrame, seed: Column) -> DataFrame:
     return ops.join(made, ["block", "position"])
 
 
-def checked_links(ops: DataFrame, seed: Column) -> DataFrame:
+def rolling_keccak(ops: DataFrame, seed: Column) -> DataFrame:
+    """ops with previous and claimed as rolling gives them, by Keccak-256.
+
+    Blocks lie sorted in partitions, and the operations that stand at one place in their blocks are hashed together; of a
+    block that goes on in the next batch the hash is held.
+    """
+    rows = ops.select("block", "position", "entity_key", "entity_hash", seed.alias("seed"))
+    n = int(ops.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(frames):
+        held: dict[int, bytes] = {}
+        for frame in frames:
+            block, last = frame["block"].to_numpy(), {}
+            nth = frame.groupby("block").cumcount().to_numpy()
+            texts = [bytes.fromhex(k + h) for k, h in zip(frame["entity_key"], frame["entity_hash"], strict=True)]
+            seeds, previous, claimed = frame["seed"].to_list(), [b""] * len(frame), [b""] * len(frame)
+            order = np.argsort(nth, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(nth[order])) + 1) if len(order) else ():
+                for k in at.tolist():
+                    b = int(block[k])
+                    previous[k] = last.get(b) or held.get(b) or bytes.fromhex(seeds[k])
+                for k, h in zip(at.tolist(), keccak_many([previous[k] + texts[k] for k in at.tolist()]), strict=True):
+                    claimed[k] = last[int(block[k])] = h
+            if len(frame):
+                held = {int(block[-1]): last[int(block[-1])]}
+            yield frame[["block", "position"]].assign(previous=[x.hex() for x in previous], claimed=[x.hex() for x in claimed])
+
+    made = rows.repartition(n, "block").sortWithinPartitions("block", "position").mapInPandas(run, "block long, position long, previous string, claimed string")
+    return ops.join(made, ["block", "position"])
+
+
+def checked_links(ops: DataFrame, seed: Column, digest=digest_hex) -> DataFrame:
     """ops with expected, the digest of the hash before; the first of a block follows the block's seed.
 
     Every row is checked by the row before it in its block, so blocks are checked side by side.
     """
     w = Window.partitionBy("block").orderBy("position")
     before = F.coalesce(F.lag("claimed").over(w), seed)
-    return ops.withColumn("expected", digest_hex(before, F.col("entity_key"), F.col("entity_hash")))
+    return ops.withColumn("_before", before).withColumn("expected", digest(F.col("_before"), F.col("entity_key"), F.col("entity_hash"))).drop("_before")
 
 
-def broken_links(ops: DataFrame, seed: Column) -> DataFrame:
+def broken_links(ops: DataFrame, seed: Column, digest=digest_hex) -> DataFrame:
     """Operations whose claimed hash isn't the digest of the one before."""
-    return checked_links(ops, seed).filter(F.col("expected") != F.col("claimed"))
+    return checked_links(ops, seed, digest).filter(F.col("expected") != F.col("claimed"))
+
+
+def changeset_errors(blocks: DataFrame, ops: DataFrame, start: str, digest=digest_hex) -> DataFrame:
+    """number, expected and got of headers and operations whose claimed rolling hash isn't what it must be.
+
+    A header has the hash of its last operation, or of the header before it (start: of the one before all). An operation
+    has the digest of the hash before, which is the header's before it for the first of a block. So nothing is folded.
+    """
+    before = links(blocks.select("number", F.col("changeset_hash").alias("hash")))
+    before = before.select("number", F.col("hash").alias("got"), F.coalesce("before_hash", F.lit(start)).alias("seed"))
+    last = ops.groupBy(F.col("block").alias("number")).agg(F.max_by("claimed", "position").alias("last"))
+    headers_ = before.join(last, "number", "left").select("number", F.coalesce("last", "seed").alias("expected"), "got")
+    each = checked_links(ops.join(before.select(F.col("number").alias("block"), "seed"), "block"), F.col("seed"), digest)
+    rows = headers_.union(each.select(F.col("block").alias("number"), "expected", F.col("claimed").alias("got")))
+    return rows.filter(~F.coalesce(F.col("expected") == F.col("got"), F.lit(False)))
 
 
 def headers(blocks: DataFrame, span: int = SPAN) -> DataFrame:

@@ -24,9 +24,11 @@ def block_lines(ops: DataFrame) -> DataFrame:
     return ops.groupBy("block").agg(F.countDistinct("tx_index").alias("tx_count"), F.count("*").alias("op_count"))
 
 
-def result_report(result: DataFrame, block: int, fields: tuple[str, ...] = ("key", "contentType", "expiresAt", "owner")) -> DataFrame:
-    """One row: the count and the block of a query's result, which itself stays a table."""
-    return result.agg(F.count("*").alias("count")).select("count", F.lit(block).cast("long").alias("block"))
+def result_report(result: DataFrame, block: int, fields: tuple[str, ...] = ("key", "contentType", "expiresAt", "owner"), whole: bool = False) -> DataFrame:
+    """One row: the count and the block of a query's result, which itself stays a table; whole: with its fields as an
+    array in the order of keys, for results that are a page."""
+    entities = [F.array_sort(F.collect_list(F.struct(*fields))).alias("entities")] if whole else []
+    return result.agg(F.count("*").alias("count"), *entities).withColumn("block", F.lit(block).cast("long"))
 
 
 def order_free_digest(rows: DataFrame, *columns: str) -> DataFrame:

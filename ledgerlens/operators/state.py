@@ -35,6 +35,13 @@ def latest(ops: DataFrame) -> DataFrame:
     )
 
 
+def entities(ops: DataFrame) -> DataFrame:
+    """latest, with the payload, content type and attributes that the last create or update gave. ops: with those columns."""
+    content = F.max_by(F.struct("payload", "content_type", "attributes"), F.when(F.col("op").isin("create", "update"), place()))
+    held = ops.groupBy("entity_key").agg(content.alias("content"))
+    return latest(ops).drop("payload_event").join(held, "entity_key").select("*", "content.*").drop("content")
+
+
 def as_of(ops: DataFrame, block: int) -> DataFrame:
     return latest(ops.filter(F.col("block") <= block))
 

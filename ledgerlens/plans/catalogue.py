@@ -44,12 +44,6 @@ def oplog_decode(spark, sf_dir):
     return oplog(spark, sf_dir).select("event_id", "block", "tx_index", "op_index", "sender", "op", "entity_key", "expires_at", "valid")
 
 
-@query(f"WITH {OPLOG_SQL} SELECT event_id, op, block FROM oplog WHERE op IN ('create', 'update') AND sender % 2 = 0")
-def registry_filter(spark, sf_dir):
-    """Operations of transactions to the registry (here: of even senders), of the kinds that carry a payload."""
-    return adapters.events(spark, sf_dir).filter(F.col("op").isin("create", "update") & (F.col("sender") % 2 == 0)).select("event_id", "op", "block")
-
-
 @query(f"WITH {OPLOG_SQL} SELECT block, tx_index, min(sender) AS sender, count(*) AS op_count, sum(CASE WHEN valid THEN 1 ELSE 0 END)::BIGINT AS valid_count FROM oplog GROUP BY block, tx_index")
 def tx_grouping(spark, sf_dir):
     return oplog(spark, sf_dir).groupBy("block", "tx_index").agg(F.min("sender").alias("sender"), F.count("*").alias("op_count"), F.count_if("valid").alias("valid_count"))
@@ -143,18 +137,11 @@ def entity_count_by_owner(spark, sf_dir):
     return state.latest(valid_ops(spark, sf_dir)).filter("alive").groupBy("owner").agg(F.count("*").alias("entity_count"), F.min("expires_at").alias("first_expiry"))
 
 
-@query(f"WITH {STATE_SQL} SELECT entity_key, creator, owner, created_block, updated_block, expires_at FROM state WHERE creator % 7 = 0")
-def commitment(spark, sf_dir):
-    """What the chain commits to, for the entities of some creators."""
-    rows = state.latest(valid_ops(spark, sf_dir)).filter(F.col("creator") % 7 == 0)
-    return rows.select("entity_key", "creator", "owner", "created_block", "updated_block", "expires_at")
-
-
 @query(
     f"""WITH {OPLOG_SQL} SELECT entity_key, min(sender) AS creator, arg_max(new_owner, (block, tx_index, op_index)) FILTER (op IN ('create', 'transfer')) AS owner, min(block) AS created_block, max(block) AS updated_block,
     arg_max(expires_at, (block, tx_index, op_index)) FILTER (op IN ('create', 'extend')) AS expires_at FROM oplog WHERE valid GROUP BY entity_key"""
 )
-def commitment_all(spark, sf_dir):
+def commitment(spark, sf_dir):
     """What the chain commits to, for every entity."""
     return state.latest(valid_ops(spark, sf_dir)).select("entity_key", "creator", "owner", "created_block", "updated_block", "expires_at")
 
@@ -256,10 +243,16 @@ def parent_lookup(spark, sf_dir):
 # --- Hash chain
 
 
-@query(f"WITH {OPLOG_SQL} SELECT count(*) AS operations, 0::BIGINT AS broken FROM oplog WHERE valid")
+@query(
+    f"""WITH {OPLOG_SQL}, l AS (SELECT list(entity_key || entity_hash) OVER (PARTITION BY block ORDER BY position ROWS UNBOUNDED PRECEDING) AS so_far, block FROM oplog WHERE valid),
+    h AS (SELECT list_reduce(list_prepend(sha256('seed:' || block), so_far), lambda a, b: sha256(from_hex(a || b))) AS claimed FROM l)
+    SELECT count(*) AS operations, 0::BIGINT AS broken, sum(('0x' || claimed[1:8])::BIGINT)::BIGINT AS first_digits FROM h"""
+)
 def chain_verify(spark, sf_dir):
+    """How many links there are and how many are broken, and a sum of the hashes' first digits, which tells them from other hashes."""
     checked = chain.checked_links(hashed_ops(spark, sf_dir), _seed())
-    return checked.agg(F.count("*").alias("operations"), F.count_if(F.col("expected") != F.col("claimed")).alias("broken"))
+    digits = F.sum(F.conv(F.substring("expected", 1, 8), 16, 10).cast("long"))
+    return checked.agg(F.count("*").alias("operations"), F.count_if(F.col("expected") != F.col("claimed")).alias("broken"), digits.alias("first_digits"))
 
 
 @query(
@@ -308,14 +301,6 @@ def reorg_tail(spark, sf_dir):
     return state.latest(chain.reorg(*_reorged(spark, sf_dir)).drop("number", "hash"))
 
 
-@query("SELECT 0::BIGINT AS differences")
-def reorg_equals_revert_commit(spark, sf_dir):
-    ops, references, again = _reorged(spark, sf_dir)
-    one = chain.reorg(ops, references, again).select("event_id", "hash")
-    two = chain.commit(chain.revert(ops, references), again).select("event_id", "hash")
-    return one.exceptAll(two).unionAll(two.exceptAll(one)).agg(F.count("*").alias("differences"))
-
-
 @query(f"WITH {BLOCKS_SQL} SELECT number, {chain.PARENT_MISMATCH} AS code FROM blocks WHERE number % 500 = 0 AND number > 0")
 def continuity_errors(spark, sf_dir):
     blocks = block_table(spark, sf_dir).withColumn("parent_hash", F.when(F.col("number") % 500 == 0, F.lit(chain.ZERO)).otherwise(F.col("parent_hash")))
@@ -545,11 +530,6 @@ def feasibility(spark, sf_dir):
     return rows.select("owner", "kind", generate.feasible(F.col("kind"), F.col("owned"), F.col("owned"), F.col("expired"), cap=10).alias("feasible"))
 
 
-@query(f"WITH {OPLOG_SQL} SELECT list_position(['create', 'update', 'extend', 'transfer', 'delete', 'expire'], op) - 1 AS place, op, count(*) AS sent, count(*) FILTER (valid) AS confirmed, count(*) FILTER (NOT valid) AS failed FROM oplog WHERE block >= 3000 GROUP BY op")
-def status_report(spark, sf_dir):
-    return generate.status(oplog(spark, sf_dir).filter("block >= 3000").withColumnRenamed("valid", "confirmed"))
-
-
 @query(
     f"""WITH {OPLOG_SQL}, t AS (
       SELECT entity_key, arg_max(new_owner, (block, tx_index, op_index)) FILTER (op IN ('create', 'transfer')) AS owner, arg_max(expires_at, (block, tx_index, op_index)) FILTER (op IN ('create', 'extend')) AS expires_at, NOT bool_or(op = 'delete') AS alive
@@ -559,7 +539,7 @@ def status_report(spark, sf_dir):
       (SELECT count(*) FROM q WHERE alive AND NOT queued) AS alive, (SELECT count(*) FROM q WHERE queued) AS expired_queue, (SELECT count(DISTINCT sender) FROM oplog WHERE sender % 11 = 0) AS in_flight
     FROM oplog GROUP BY op"""
 )
-def status_report_all(spark, sf_dir):
+def status_report(spark, sf_dir):
     """The report over all operations, with how many entities are alive and queued to expire, and senders in flight."""
     ops = written(oplog(spark, sf_dir), "status")
     named = ops.withColumnsRenamed({"entity_key": "entity", "sender": "signer", "new_owner": "receiver"})
@@ -706,3 +686,6 @@ def kind_choice(spark, sf_dir):
 @query("SELECT 100 + unnest(range(0, 500)) AS nonce, 'create' AS op, 256 AS size")
 def spam_creates(spark, sf_dir):
     return generate.spam(spark, 500, 100)
+
+
+from . import catalogue_wire  # noqa: E402,F401 - registers its queries

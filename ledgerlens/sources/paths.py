@@ -45,6 +45,13 @@ class Files:
         finally:
             stream.close()
 
+    def write(self, path: str, text: str) -> None:
+        """In place of what is there."""
+        fs, at = self._at(path)
+        stream = fs.create(at, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
     def write_new(self, path: str, text: str) -> bool:
         """Writes beside the path and renames; False if the path is there already."""
         fs, at = self._at(path)

@@ -17,6 +17,9 @@ TRANSACTION = f"struct<hash:string,index:int,sender:string,operations:array<{OPE
 HEADER = "struct<number:string,hash:string,parentHash:string,changesetHash:string>"
 BLOCK = f"struct<header:{HEADER},transactions:array<{TRANSACTION}>>"
 REFERENCE = "struct<number:string,hash:string>"
+#: Attributes with values as text, and the columns of operations that a store keeps of messages.
+TYPED = "array<struct<name:string,valueType:string,value:string>>"
+LEDGER_OPS = f"block long, block_hash string, position long, op string, entity_key string, sender string, expires_at long, new_owner string, event_id long, tx_hash string, entity_hash string, claimed string, payload binary, content_type string, attributes {TYPED}"
 MESSAGE = f"blocks array<{BLOCK}>, newBlocks array<{BLOCK}>, revertedBlocks array<{REFERENCE}>"
 VALUE_TYPES = ("uint", "string", "entityKey")
 
@@ -56,9 +59,26 @@ def operation_rows(blocks: DataFrame) -> DataFrame:
 def attribute_rows(ops: DataFrame) -> DataFrame:
     """entity_key, name, valueType and value (text of strings and numbers, hex of keys) of every operation's attributes."""
     rows = ops.select("block", "tx_index", "op_index", "entity_key", F.explode("attributes").alias("a"))
-    raw = F.unhex(plain(F.col("a.value")))
-    value = F.when(F.col("a.valueType") == "string", codecs.container_string(raw)).when(F.col("a.valueType") == "uint", codecs.word_uint(F.unhex(F.lpad(F.hex(raw), 64, "0"))).cast("string")).otherwise(plain(F.col("a.value")))
-    return rows.select("block", "tx_index", "op_index", "entity_key", F.col("a.name").alias("name"), F.col("a.valueType").alias("valueType"), value.alias("value"))
+    return rows.select("block", "tx_index", "op_index", "entity_key", F.col("a.name").alias("name"), F.col("a.valueType").alias("valueType"), attribute_value(F.col("a")).alias("value"))
+
+
+def attribute_value(a: Column) -> Column:
+    """A wire attribute's value as text: strings and numbers as they are read, keys as hex."""
+    raw = F.unhex(plain(a["value"]))
+    return F.when(a["valueType"] == "string", codecs.container_string(raw)).when(a["valueType"] == "uint", codecs.word_text(F.unhex(F.lpad(F.hex(raw), 64, "0")))).otherwise(plain(a["value"]))
+
+
+def ledger_ops(blocks: DataFrame) -> DataFrame:
+    """The operations of blocks with all that a store keeps (LEDGER_OPS): owner, sender, payload, type and attributes too.
+
+    A create's owner is the one it names, or its sender; a transfer names the new one; others leave it as it is.
+    """
+    typed = lambda a: F.struct(a["name"].alias("name"), a["valueType"].alias("valueType"), attribute_value(a).alias("value"))
+    owner = F.when(F.col("op") == "create", F.coalesce("owner", "sender")).when(F.col("op") == "transfer", F.col("owner"))
+    return operation_rows(blocks).select(
+        "block", "block_hash", (F.shiftleft(F.col("tx_index").cast("long"), 32) + F.col("op_index")).alias("position"), "op", "entity_key", "sender", "expires_at", owner.alias("new_owner"), F.lit(None).cast("long").alias("event_id"),
+        "tx_hash", "entity_hash", F.col("changeset_hash").alias("claimed"), F.unhex("payload").alias("payload"), "content_type", F.transform("attributes", typed).alias("attributes"),
+    )
 
 
 def transaction_error(operations: Column) -> Column:
