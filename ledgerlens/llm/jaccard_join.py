@@ -34,6 +34,10 @@ BLOCK, ASKING = 128, 512
 CROWD = 512
 
 
+#: Prefix rows that a task holds.
+HELD = 1 << 22
+
+
 def prefix_length(n):
     return n - (80 * n + 99) // 100 + 1
 
@@ -88,11 +92,38 @@ def frequent(prefixes: DataFrame) -> np.ndarray:
 
 
 def prefix_rows(docs: DataFrame, late: np.ndarray) -> DataFrame:
-    """shingle, cls and n for the prefix of each class; a class is given once by each task that has it."""
+    """place, shingle, cls, n, many: the prefix of each class, given once by each task that has the class.
+
+    Of a shingle that more than FEW classes of a task have, the task gives the first class with their number as many,
+    and for each of the others a row without a shingle that leads to the first (in many): it needn't meet the rest. So
+    no shingle has more rows than a few for each task, whatever share of all classes has it. place: where rows that
+    belong together meet; a task holds the rows of what it reads.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(late)
 
     def run(batches):
         seen: set[int] = set()
+        held: list[list[np.ndarray]] = []
+
+        def out():
+            s, c, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((c, s))
+            s, c, n = s[order], c[order], n[order]
+            first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            many = np.diff(np.append(first, len(s)))
+            nth = np.arange(len(s)) - np.repeat(first, many)
+            hot = np.repeat(many > FEW, many)
+            leader = np.repeat(c[first], many)
+            told = np.flatnonzero(hot & (nth > 0))
+            kept = ~hot | (nth == 0)
+            rows = [(s[kept], s[kept], c[kept], n[kept], np.where(hot[kept], np.repeat(many, many)[kept], 1)), (mix(c[told].view(np.uint64)).view(np.int64), None, c[told], n[told], leader[told])]
+            for place, shingle, cls, size, number in rows:
+                for k in range(0, len(cls), 1 << 16):
+                    part = slice(k, k + (1 << 16))
+                    shingles = pa.array(shingle[part]) if shingle is not None else pa.nulls(len(cls[part]), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(place[part]), shingles, pa.array(cls[part]), pa.array(size[part].astype(np.int32)), pa.array(number[part].astype(np.int64))], ["place", "shingle", "cls", "n", "many"])
+
         for _, texts in arrow.slices(batches):
             shingles, counts = shingle_sets(texts)
             cls = class_of(shingles, counts)
@@ -105,46 +136,97 @@ def prefix_rows(docs: DataFrame, late: np.ndarray) -> DataFrame:
             owner = np.repeat(np.arange(len(texts)), length)
             keep = new[owner]
             owner = owner[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(prefix[keep].view(np.int64)), pa.array(cls[owner]), pa.array(counts[owner].astype(np.int32))], ["shingle", "cls", "n"])
+            if len(owner):
+                held.append([prefix[keep].view(np.int64), cls[owner], counts[owner]])
+                if sum(len(x[0]) for x in held) > HELD:
+                    yield from out()
+        if held:
+            yield from out()
 
-    return arrow.map_texts(docs.select("text"), run, "shingle long, cls long, n int")
+    return arrow.map_texts(docs.select("text"), run, "place long, shingle long, cls long, n int, many long")
 
 
-def with_end(batches):
-    yield from batches
-    yield None
+#: Kinds of rows that met() gives.
+PAIR, STAR = 0, 1
+
 
+def met(rows: DataFrame) -> DataFrame:
+    """kind, a, b, n: pairs of classes with a rare shingle in common whose sizes allow a link (a < b), and, for each class
+    that has a frequent one with others, the class (a, of size n) and one that leads (b), as often as it has such.
 
-def close_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs a < b of classes with a shingle in common and sizes that allow a link. No shingle has more than FEW rows."""
+    rows of prefix_rows. They move once; those with one shingle are sorted by class and looked at as they come: of a
+    frequent one the first class leads and no other is held, of a rare one there are FEW at most.
+    """
 
     def run(batches):
-        held: pa.Table | None = None
-        for batch in with_end(batches):
-            table = pa.Table.from_batches([batch]) if batch is not None else None
-            whole = pa.concat_tables([t for t in (held, table) if t is not None]) if held is not None or table is not None else None
-            if whole is None or not len(whole):
-                continue
-            s, cls, n = (whole.column(c).to_numpy() for c in ("shingle", "cls", "n"))
-            stop = len(s) if table is None else int(np.searchsorted(s, s[-1]))
-            held = whole.slice(stop) if table is not None else None
-            s, cls, n = s[:stop], cls[:stop], n[:stop]
+        held: list[np.ndarray] | None = None  # rows of the last shingle that may be a rare one
+        leading: tuple[int, int] | None = None  # the last shingle that is frequent, and who leads
+
+        def made(kind, a, b, n):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), pa.array(a), pa.array(b), pa.array(n.astype(np.int32))], ["kind", "a", "b", "n"])
+
+        def look(s, c, n, w):
+            """Rows of whole shingles, or of frequent ones of which more may come."""
+            nonlocal leading
+            first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            size = np.diff(np.append(first, len(s)))
+            heavy = np.add.reduceat(w, first) > FEW
+            leader = c[first].copy()
+            if leading is not None and s[0] == leading[0]:
+                heavy[0], leader[0] = True, leading[1]
+            # a class alone leads nobody, unless it has led in its task, or more rows were or are to come
+            told = (c[first + size - 1] != leader) | (np.maximum.reduceat(w, first) > FEW)
+            told[0] |= leading is not None and s[0] == leading[0]
+            told[-1] = True
+            star = np.repeat(heavy & told, size)
+            if star.any():
+                yield made(STAR, c[star], np.repeat(leader, size)[star], n[star])
+            if heavy[-1]:
+                leading = (s[-1], leader[-1])
+            light = ~np.repeat(heavy, size)
+            s, c, n = s[light], c[light], n[light].astype(np.int64)
             found = []
             for shift in range(1, FEW):
                 i = np.flatnonzero(s[shift:] == s[:-shift])
                 if not len(i):
                     break
                 j = i + shift
-                small, large = np.minimum(n[i], n[j]).astype(np.int64), np.maximum(n[i], n[j]).astype(np.int64)
-                good = (100 * small >= 80 * large) & (cls[i] != cls[j])
-                found.append(np.stack([np.minimum(cls[i], cls[j])[good], np.maximum(cls[i], cls[j])[good]]))
+                good = (100 * np.minimum(n[i], n[j]) >= 80 * np.maximum(n[i], n[j])) & (c[i] != c[j])
+                found.append(np.stack([np.minimum(c[i], c[j])[good], np.maximum(c[i], c[j])[good]]))
             if found:
                 pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                yield made(PAIR, pairs[0], pairs[1], np.zeros(pairs.shape[1]))
+
+        for batch in with_end(batches):
+            parts = [held] if held is not None else []
+            if batch is not None:
+                told = batch.filter(batch.column("shingle").is_null())
+                if len(told):
+                    yield made(STAR, *(told.column(x).to_numpy() for x in ("cls", "many", "n")))
+                plain = batch.filter(batch.column("shingle").is_valid())
+                parts.append([plain.column(x).to_numpy(zero_copy_only=False) for x in ("shingle", "cls", "n", "many")])
+            if not parts:
+                continue
+            s, c, n, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+            held = None
+            if not len(s):
+                continue
+            stop = len(s)
+            if batch is not None:  # the last shingle may go on
+                last = int(np.searchsorted(s, s[-1]))
+                if w[last:].sum() <= FEW and not (leading is not None and s[-1] == leading[0]):
+                    held, stop = [x[last:] for x in (s, c, n, w)], last
+            if stop:
+                yield from look(s[:stop], c[:stop], n[:stop], w[:stop])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("shingle", "cls", "n").repartition(n, "shingle").sortWithinPartitions("shingle", "cls")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = rows.repartition(n, "place").sortWithinPartitions("shingle", "cls").drop("place")
+    return dealt.mapInArrow(run, "kind int, a long, b long, n int")
+
+
+def with_end(batches):
+    yield from batches
+    yield None
 
 
 def allowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -255,13 +337,13 @@ def _components(docs: DataFrame) -> DataFrame:
     one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark"))
     classes = rows.filter("n > 0").groupBy("cls").agg(one.alias("one"), F.max("n").alias("n"), F.first("signature").alias("signature"))
     classes = materialize(classes.select("cls", F.col("one.doc_id").alias("doc"), "one.mark", "n", "signature"), "classes")
-    shared = materialize(_shared(prefix_rows(docs, late)), "shared")
-    few = materialize(close_pairs(shared.filter(F.col("many") <= FEW)), "pairs")
-    stars = shared.filter(F.col("many") > FEW)
-    weight = stars.groupBy("cls").agg((F.count("*") / F.max("n")).alias("weight"))
+    found = materialize(met(prefix_rows(docs, late)), "met")
+    few = materialize(found.filter(F.col("kind") == PAIR).select("a", "b").distinct(), "pairs")
+    stars = found.filter(F.col("kind") == STAR)
+    weight = stars.groupBy(F.col("a").alias("cls")).agg((F.count("*") / F.max("n")).alias("weight"))
     wanted = few.select(F.explode(F.array("a", "b")).alias("cls")).union(weight.select("cls")).distinct()
     marks = materialize(classes.select("cls", "n", "signature").join(wanted, "cls", "left_semi").join(weight, "cls", "left").fillna(0.0, ["weight"]), "marks")
-    crowds = components(stars.select(F.col("cls").alias("a"), F.col("leader").alias("b")).distinct()).withColumnsRenamed({"node": "cls"})
+    crowds = components(stars.select("a", "b").distinct()).withColumnsRenamed({"node": "cls"})
     edges = allowed(few, marks).union(cluster_links(crowds.join(marks, "cls"), CROWD))
     clusters = components(edges).withColumnsRenamed({"node": "cls"})
     members = clusters.join(classes.select("cls", "doc", "mark"), "cls").join(marks.select("cls", "n", "weight"), "cls")
@@ -274,12 +356,6 @@ def _components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The prefix rows whose shingle more than one class has, with the number of rows (many) and one class (leader)."""
-    counted = rows.groupBy("shingle").agg(F.count("*").alias("many"), F.min("cls").alias("leader"), F.max("cls").alias("other"))
-    return rows.join(counted.filter("leader <> other").drop("other"), "shingle")
-
-
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
@@ -292,7 +368,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     first = 1 << 62
-    whole = docs.withColumn("_id", F.expr("try_cast(doc_id as bigint)"))
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text").withColumn("_id", F.expr("try_cast(doc_id as bigint)"))  # so that no name clashes
     with scratch(spark) as keep:
         names = whole.groupBy("_id").agg(F.count("*").alias("_rows"))
         shared = keep(names.filter(F.col("_id").isNull() | (F.col("_rows") > 1) | (F.col("_id") >= first)).select("_id"), "shared-ids")
@@ -314,4 +390,4 @@ def without_copies(docs: DataFrame) -> DataFrame:
         words = keep(slot_words(gone.select(slot_of("_id"))), "copies-bitmap")
     rows = marked(named, "_id", words)
     some = rows.filter("marked").join(gone, "_id", "left_anti")
-    return rows.filter("not marked").select(*docs.columns).union(some.select(*docs.columns))
+    return rows.filter("not marked").select("_row.*").union(some.select("_row.*"))
