@@ -23,7 +23,7 @@ from .shared import materialize, ranked, scratch, table
 #: Orderings, projected dimensions and bits of each; places that a query looks at on either side; directions that bound
 #: a block, vectors in one; bytes of queries that the driver sends out at once; vectors that the projections' ranges are
 #: taken from, in expectation.
-ORDERINGS, DIMENSIONS, BITS, WINDOW, SHADOW, BLOCK, SENT, SAMPLE = 4, 6, 4, 32, 16, 512, 1 << 25, 10_000
+ORDERINGS, DIMENSIONS, BITS, WINDOW, SHADOW, BLOCK, SENT, SAMPLE = 4, 6, 8, 32, 16, 512, 1 << 25, 10_000
 SEED = 11
 
 
@@ -174,7 +174,8 @@ def _neighbours(vectors: DataFrame, asks: Column, k: int, window: int, orderings
     both = along.select("uid", "embedding", "asks", F.lit(True).alias("candidate")).union(
         asking.join(along.filter("asks").select("uid"), "uid", "left_anti").select("uid", "embedding", "asks", F.lit(False).alias("candidate"))
     )
-    order = ranked(both.mapInArrow(all_keys, "uid long, asks boolean, candidate boolean, curve int, key long"), ["curve", "key", "uid"], "curves")
+    keyed = both.mapInArrow(all_keys, "uid long, asks boolean, candidate boolean, curve int, key long")
+    order = ranked(keyed.withColumn("tie", F.xxhash64("curve", "uid")), ["curve", "key", "tie"], "curves")  # ties fall differently on each curve
     size = F.col("total") / orderings
     order = order.withColumn("at", (F.col("rank") - F.col("curve") * size).cast("long"))
     pairs = in_windows(order, size.cast("long"), window)

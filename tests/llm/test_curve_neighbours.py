@@ -38,6 +38,45 @@ def test_recall_and_scores(spark):
     assert hits >= 0.9 * 10 * len(want)
 
 
+def test_doubles_are_not_narrowed(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1.0 + 1e-9, 2.0]), (2, [1.0, 2.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(q.vec_id, q.score) for q in N.neighbours(df, N.F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert [i for i, _ in got] == [1, 2] and abs(got[0][1] - 1e-9) < 1e-15
+
+
+def grouped(n, seed=3, dims=32):
+    r = np.random.default_rng(seed)
+    return (r.standard_normal((n // 100, dims))[r.integers(0, n // 100, n)] * 10 + r.standard_normal((n, dims)) * 0.1).astype(np.float32)
+
+
+def test_answers_are_whole_and_windows_alone_find_most(spark):
+    x = grouped(3000)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    d = np.sqrt(((x[::100, None].astype(float) - x[None].astype(float)) ** 2).sum(2))
+    d[np.arange(30), np.arange(0, 3000, 100)] = np.inf
+    want = {100 * q: set(np.argsort(d[q], kind="stable")[:10].tolist()) for q in range(30)}
+    for whole, least in ((True, 1.0), (False, 0.9)):
+        got = {}
+        for q in N.neighbours(df, N.F.col("vec_id") % 100 == 0, whole=whole).collect():
+            got.setdefault(q.query_id, set()).add(q.vec_id)
+        assert sum(len(got[q] & want[q]) for q in want) >= least * 300
+
+
+def test_groups_leave_few_blocks_to_compare():
+    x = grouped(50_000)
+    key = N.fit(x[:2000].astype(float), 1).keys(x.astype(float), 0)
+    order = np.argsort(key, kind="stable")
+    queries = np.arange(0, 50_000, 100)
+    reach = np.full(len(queries), 1.5)
+    directions = np.linalg.qr(np.random.default_rng(1).standard_normal((32, 32)))[0][:, : N.SHADOW]
+    asked = N.Asked(queries, x[queries].astype(float), reach, directions, 10)
+    for at in range(0, 50_000, N.BLOCK):
+        part = order[at : at + N.BLOCK]
+        asked.look(part, part, x[part].astype(float))
+    assert len(asked.found) == 10 * len(queries) and asked.tested < 0.35 * len(queries) * 50_000
+
+
 def test_ties_and_odd_vectors(spark):
     r = np.random.default_rng(2)
     same = r.standard_normal(16).astype(np.float32).tolist()
