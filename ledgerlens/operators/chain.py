@@ -6,11 +6,13 @@ hash before, the entity's key and the entity's hash; an empty block has the hash
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.digest import keccak256, keccak_many
+from ..functions.digest import keccak256
 from .running import carry_forward
 
 #: Codes of errors on commit and revert. Fixed values.
@@ -38,47 +40,38 @@ def keccak_hex(*parts: Column) -> Column:
     return F.lower(F.hex(keccak256(F.unhex(F.concat(*parts)))))
 
 
-def rolling(ops: DataFrame, seed: Column) -> DataFrame:
-    """ops (one block's are few) with previous and claimed: the rolling hash before and after each, from a seed for each block."""
-    folded = ops.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("position", "entity_key", "entity_hash"))).alias("all"))
-    start = F.struct(seed.alias("h"), F.array().cast("array<struct<position:bigint,previous:string,claimed:string>>").alias("out"))
-
-    def step(s, x):
-        h = digest_hex(s["h"], x["entity_key"], x["entity_hash"])
-        return F.struct(h.alias("h"), F.concat(s["out"], F.array(F.struct(x["position"].alias("position"), s["h"].alias("previous"), h.alias("claimed")))).alias("out"))
-
-    made = folded.select("block", F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("x")).select("block", "x.*")
-    return ops.join(made, ["block", "position"])
+def sha_many(messages: list[bytes]) -> list[bytes]:
+    return [hashlib.sha256(m).digest() for m in messages]
 
 
-def rolling_keccak(ops: DataFrame, seed: Column) -> DataFrame:
-    """ops with previous and claimed as rolling gives them, by Keccak-256.
+def rolling(ops: DataFrame, seed: Column, many=sha_many) -> DataFrame:
+    """ops with previous and claimed: the rolling hash before and after each, from a seed for each block.
 
-    Blocks lie sorted in partitions, and the operations that stand at one place in their blocks are hashed together; of a
-    block that goes on in the next batch the hash is held.
+    many: the digests of many messages (sha_many, or keccak_many for Keccak-256). Blocks lie sorted in partitions and are
+    read as they come; operations that stand at one place in their blocks are hashed together, and of a block that goes
+    on in the next batch the hash is held, so a block of any size is no list.
     """
     rows = ops.select("block", "position", "entity_key", "entity_hash", seed.alias("seed"))
-    n = int(ops.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(frames):
         held: dict[int, bytes] = {}
         for frame in frames:
-            block, last = frame["block"].to_numpy(), {}
+            block, last = frame["block"].tolist(), {}
             nth = frame.groupby("block").cumcount().to_numpy()
             texts = [bytes.fromhex(k + h) for k, h in zip(frame["entity_key"], frame["entity_hash"], strict=True)]
-            seeds, previous, claimed = frame["seed"].to_list(), [b""] * len(frame), [b""] * len(frame)
+            seeds, previous, claimed = frame["seed"].tolist(), [b""] * len(frame), [b""] * len(frame)
             order = np.argsort(nth, kind="stable")
             for at in np.split(order, np.flatnonzero(np.diff(nth[order])) + 1) if len(order) else ():
-                for k in at.tolist():
-                    b = int(block[k])
-                    previous[k] = last.get(b) or held.get(b) or bytes.fromhex(seeds[k])
-                for k, h in zip(at.tolist(), keccak_many([previous[k] + texts[k] for k in at.tolist()]), strict=True):
-                    claimed[k] = last[int(block[k])] = h
-            if len(frame):
-                held = {int(block[-1]): last[int(block[-1])]}
+                at = at.tolist()
+                for k in at:
+                    previous[k] = last.get(block[k]) or held.get(block[k]) or bytes.fromhex(seeds[k])
+                for k, h in zip(at, many([previous[k] + texts[k] for k in at]), strict=True):
+                    claimed[k] = last[block[k]] = h
+            if block:
+                held = {block[-1]: last[block[-1]]}
             yield frame[["block", "position"]].assign(previous=[x.hex() for x in previous], claimed=[x.hex() for x in claimed])
 
-    made = rows.repartition(n, "block").sortWithinPartitions("block", "position").mapInPandas(run, "block long, position long, previous string, claimed string")
+    made = rows.repartition("block").sortWithinPartitions("block", "position").mapInPandas(run, "block long, position long, previous string, claimed string")
     return ops.join(made, ["block", "position"])
 
 

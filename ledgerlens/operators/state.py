@@ -7,10 +7,14 @@ the reverted ones.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import running
+
 GONE = ("delete", "expire")
+#: Blocks in a span of running values.
+SPAN = 1024
 
 
 def place() -> Column:
@@ -54,19 +58,20 @@ def expirable(state: DataFrame, block: int) -> DataFrame:
 def versions(ops: DataFrame) -> DataFrame:
     """Every version of every entity: valid_from and valid_to (places; null: still), with owner, expiry and payload.
 
-    A version ends where the entity's next operation is. Entities have few operations each, so a window over one is small.
+    A version ends where the entity's next operation is. Values are run along by spans of blocks, there and back, so an
+    entity with very many operations is many tasks.
     """
-    w = Window.partitionBy("entity_key").orderBy("block", "position")
-    held = lambda value, *kinds: F.last(F.when(F.col("op").isin(*kinds), F.col(value)), True).over(w)
-    return ops.select(
-        "entity_key", "op", place().alias("valid_from"), F.lead(place()).over(w).alias("valid_to"),
-        held("new_owner", "create", "transfer").alias("owner"), held("expires_at", "create", "extend").alias("expires_at"), held("event_id", "create", "update").alias("payload_event"),
-        (~F.col("op").isin(*GONE)).alias("alive"),
-    )
+    held = {"owner": ("new_owner", "create", "transfer"), "expires_at": ("expires_at", "create", "extend"), "payload_event": ("event_id", "create", "update")}
+    own = {f"_own_{name}": F.when(F.col("op").isin(*kinds), F.col(value)) for name, (value, *kinds) in held.items()}
+    rows = ops.select("entity_key", "op", "block", "position", place().alias("valid_from"), *[c.alias(k) for k, c in own.items()])
+    rows = rows.withColumns({"_span": F.floor(F.col("block") / SPAN), "_back": -F.floor(F.col("block") / SPAN), "_block": -F.col("block"), "_position": -F.col("position")})
+    rows = running(rows, "entity_key", "_span", ["block", "position"], {}, {f"_before_{name}": F.col(f"_own_{name}") for name in held})
+    rows = running(rows, "entity_key", "_back", ["_block", "_position"], {}, {"valid_to": F.col("valid_from")})
+    return rows.select("entity_key", "op", "valid_from", "valid_to", *[F.coalesce(f"_own_{name}", f"_before_{name}").alias(name) for name in held], (~F.col("op").isin(*GONE)).alias("alive"))
 
 
 def monotonicity(ops: DataFrame) -> DataFrame:
     """Extends that don't raise their entity's expiry, with the expiry before."""
-    w = Window.partitionBy("entity_key").orderBy("block", "position").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.last(F.when(F.col("op").isin("create", "extend"), F.col("expires_at")), True).over(w)
-    return ops.withColumn("before", before).filter((F.col("op") == "extend") & (F.col("expires_at") <= F.col("before")))
+    rows = ops.withColumn("_span", F.floor(F.col("block") / SPAN))
+    rows = running(rows, "entity_key", "_span", ["block", "position"], {}, {"before": F.when(F.col("op").isin("create", "extend"), F.col("expires_at"))}).drop("_span")
+    return rows.filter((F.col("op") == "extend") & (F.col("expires_at") <= F.col("before")))

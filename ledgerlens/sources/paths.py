@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_path(spark: SparkSession, label: str) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"

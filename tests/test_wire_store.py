@@ -101,8 +101,8 @@ def test_rolling_keccak_is_a_fold(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
     try:
         df = spark.createDataFrame(rows, "block long, position long, entity_key string, entity_hash string")
-        got = {(x.block, x.position): (x.previous, x.claimed) for x in chain.rolling_keccak(df, F.sha2(F.col("block").cast("string").cast("binary"), 256)).collect()}
-        assert df.count() == len(got) and chain.broken_links(chain.rolling_keccak(df, F.lit(chain.ZERO)), F.lit(chain.ZERO), chain.keccak_hex).count() == 0
+        got = {(x.block, x.position): (x.previous, x.claimed) for x in chain.rolling(df, F.sha2(F.col("block").cast("string").cast("binary"), 256), keccak_many).collect()}
+        assert df.count() == len(got) and chain.broken_links(chain.rolling(df, F.lit(chain.ZERO), keccak_many), F.lit(chain.ZERO), chain.keccak_hex).count() == 0
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     import hashlib
