@@ -47,6 +47,12 @@ def unwrapped(responses: DataFrame) -> DataFrame:
     return rows.select("r.id", F.when(error.isNull(), F.col("r.result")).alias("result"), error.alias("error"))
 
 
+def camel(df: DataFrame) -> DataFrame:
+    """df with names as they are on the wire: parts after an underscore begin with a capital."""
+    parts = {c: c.split("_") for c in df.columns}
+    return df.withColumnsRenamed({c: p[0] + "".join(x[:1].upper() + x[1:] for x in p[1:]) for c, p in parts.items()})
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """JSON lines, over what is there."""
     df.write.mode("overwrite").json(path)

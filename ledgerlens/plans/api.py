@@ -74,6 +74,10 @@ class Ledger:
         last = self.headers.orderBy(F.desc("number")).limit(2)
         return last.agg(F.max("number").alias("current_block"), F.max_by("timestamp", "number").alias("current_block_time"), codecs.saturating_difference(F.max_by("timestamp", "number"), F.min_by("timestamp", "number")).alias("duration"))
 
+    def first_block(self) -> DataFrame:
+        """number and hash of the chain's first block."""
+        return self.headers.agg(F.min("number").alias("number"), F.min_by("hash", "number").alias("hash"))
+
     def commitment(self, key: str) -> DataFrame:
         return state.latest(self.ops.filter(F.col("entity_key") == key))
 

@@ -557,12 +557,10 @@ def alloc_merge(spark, sf_dir):
     return batch.alloc_merge(old, new)
 
 
-#: Which store a node uses, by whether the contract is there, a database is named, and debugging is on. Fixed values.
-MODES = ((False, False, False, "disabled"), (False, True, False, "error"), (False, False, True, "error"), (False, True, True, "error"), (True, False, False, "error"), (True, False, True, "logging"), (True, True, False, "database"), (True, True, True, "error"))
-
-
 @query("WITH n AS (SELECT event_id, event_id % 2 = 1 AS p, event_id // 2 % 2 = 1 AS u, event_id // 4 % 2 = 1 AS d FROM events) SELECT event_id, CASE WHEN NOT (p OR u OR d) THEN 'disabled' WHEN p AND u AND NOT d THEN 'database' WHEN p AND d AND NOT u THEN 'logging' ELSE 'error' END AS mode FROM n")
 def mode_table(spark, sf_dir):
+    from ..streaming.settings import MODES
+
     modes = spark.createDataFrame(MODES, "p boolean, u boolean, d boolean, mode string")
     bit = lambda k: F.expr(f"event_id div {1 << k}") % 2 == 1
     rows = table(spark, sf_dir, "events").select("event_id", bit(0).alias("p"), bit(1).alias("u"), bit(2).alias("d"))

@@ -298,6 +298,19 @@ def hash_at_block(spark, sf_dir):
     return ledger(spark, sf_dir).head_hash(AT_BLOCK)
 
 
+@query(f"WITH {BLOCKS_SQL} SELECT min(number) AS number, arg_min(hash, number) AS hash FROM blocks")
+def first_block(spark, sf_dir):
+    return ledger(spark, sf_dir).first_block()
+
+
+@query(f'WITH {STATE_SQL} SELECT entity_key AS "entityKey", owner, payload_event AS "payloadEvent", expires_at AS "expiresAt", created_block AS "createdBlock" FROM state')
+def camel_names(spark, sf_dir):
+    """State with names as they are on the wire."""
+    from ..operators import report
+
+    return report.camel(state.latest(valid_ops(spark, sf_dir)).select("entity_key", "owner", "payload_event", "expires_at", "created_block"))
+
+
 @query(f"WITH {OPLOG_SQL} SELECT sender, count(*) FILTER (op = 'create') AS nonce FROM oplog WHERE valid GROUP BY sender")
 def sender_nonces(spark, sf_dir):
     return api.Ledger(valid_ops(spark, sf_dir), None).nonces()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..operators.running import running
+from .blocks import random_payload
 
 ATTRIBUTE = "struct<name:string,string:string,uint:string,entityKey:string>"
 OPERATION = f"array<struct<type:string,btl:long,entityKey:string,newOwner:string,contentType:string,payload:string,size:int,attributes:array<{ATTRIBUTE}>>>"
@@ -65,8 +66,14 @@ def errors(ops: DataFrame) -> DataFrame:
     return rows.withColumn("error", error).drop("_n", "_to", "_key")
 
 
-def resolved(ops: DataFrame, block: int) -> DataFrame:
-    """Operations as they are committed in a block: absolute expiry, default content type, sorted typed attributes."""
+def resolved(ops: DataFrame, block: int, seed: int = 0) -> DataFrame:
+    """Operations as they are committed in a block: absolute expiry, default content type, sorted typed attributes.
+
+    A size gives so many bytes that the seed and the operation's position make.
+    """
+    made = random_payload(F.col("size"), F.col("position"), seed)
+    given = codecs.batch_payload(F.col("payload"), F.col("size"))["payload"]
+    payload = F.when(F.col("size").isNotNull() & F.col("payload").isNull(), made).otherwise(given)
     typed = lambda a: F.struct(
         a["name"].alias("name"),
         F.when(a["string"].isNotNull(), F.lit("string")).when(a["uint"].isNotNull(), F.lit("uint")).otherwise(F.lit("entityKey")).alias("valueType"),
@@ -76,7 +83,7 @@ def resolved(ops: DataFrame, block: int) -> DataFrame:
     attributes = F.when(F.col("type").isin("create", "update"), codecs.sorted_attributes(F.transform(F.coalesce("attributes", F.array().cast(f"array<{ATTRIBUTE}>")), typed)))
     return errors(ops).select(
         "position", F.col("type").alias("op"), F.coalesce("made_key", "target").alias("entity_key"), F.when(F.col("btl").isNotNull(), F.col("btl") + block).alias("expires_at"), F.lower(F.regexp_replace("newOwner", "^0x", "")).alias("new_owner"),
-        F.when(F.col("type").isin("create", "update"), codecs.batch_payload(F.col("payload"), F.col("size"))["payload"]).alias("payload"), kind.alias("content_type"), attributes.alias("attributes"), "error",
+        F.when(F.col("type").isin("create", "update"), payload).alias("payload"), kind.alias("content_type"), attributes.alias("attributes"), "error",
     )
 
 

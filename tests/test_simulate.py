@@ -90,6 +90,7 @@ def test_operations_made_here_are_as_from_a_file(spark):
     rows = batch.resolved(batch.with_nonces(batch.batch_rows(spark, made), 3, "me"), 100).orderBy("position").collect()
     assert [r.op for r in rows] == ["create", "update", "extend", "transfer", "delete", "expire"] and {r.error for r in rows} == {None}
     assert len({r.entity_key for r in rows}) == 1 and (rows[0].expires_at, rows[2].expires_at, rows[3].new_owner) == (105, 109, "ab")
+    assert len(rows[1].payload) == 4 and rows[1].payload != bytes(4)
     with pytest.raises(batch.BatchError):
         batch.created(5, "a", 3)
     with pytest.raises(batch.BatchError):

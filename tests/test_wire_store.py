@@ -12,7 +12,7 @@ from ledgerlens.operators import chain, state
 from ledgerlens.plans import api
 from ledgerlens.sources import blocks, wire
 from ledgerlens.sources.paths import Files
-from ledgerlens.streaming import runner, sinks
+from ledgerlens.streaming import runner, settings, sinks
 from ledgerlens.streaming.store import LedgerStore
 
 OTHER = "cd" * 20
@@ -139,6 +139,15 @@ def test_sinks(spark, tmp_path):
     assert Files(spark).names(str(tmp_path / "none")) == []
 
 
+def test_settings_choose_the_sink(spark, tmp_path):
+    at = str(tmp_path / "x")
+    assert settings.Settings(False).sink(spark) is None and settings.Settings(True, store=at, arguments=" a  b ").argument_list == ["a", "b"]
+    assert isinstance(settings.Settings(True, store=at).sink(spark), LedgerStore) and isinstance(settings.Settings(True, debug=True, log=at).sink(spark), sinks.LogSink)
+    for bad in (settings.Settings(True), settings.Settings(False, store=at), settings.Settings(True, store=at, debug=True), settings.Settings(True, debug=True)):
+        with pytest.raises(ValueError):
+            bad.sink(spark)
+
+
 def test_raw_blocks_must_fit_together(spark):
     tx, receipt = ("h", "0xAA", "0x"), (True, [("0xaa", "entity", "k"), ("0xbb", "entity", "k"), (None, "hash", "k")])
     rows = [(1, "x", [tx, ("g", "0xbb", "0x"), tx], [receipt] * 3, ["s1", "s2", "s3"]), (2, "y", [], [], []), (3, "z", None, None, None)]
