@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .hilbert import hilbert_index
-from .shared import materialize, ranked, scratch, table
+from .shared import materialize, new_path, ranked, scratch, table
 
 #: Orderings, projected dimensions and bits of each; places that a query looks at on either side; directions that bound
 #: a block, vectors in one; bytes of queries that the driver sends out at once; vectors that the projections' ranges are
@@ -190,15 +190,15 @@ def _neighbours(vectors: DataFrame, asks: Column, k: int, window: int, orderings
     asked = asked.join(reach, "query", "left").join(order.filter("curve = 0").select(F.col("uid").alias("query"), "at"), "query")
     asked = ranked(asked, ["at"], "asked")
     step = max(1, SENT // (8 * (dims["d"] + 4 + 3 * k)))
-    parts = []
+    path, kinds = new_path(spark, "found"), "query long, query_id long, uid long, vec_id long, score double"
+    spark.createDataFrame([], kinds).write.parquet(path)
     for begin in range(0, asked.count(), step):
         part = asked.filter(F.col("rank").between(begin, begin + step - 1)).select("query", "query_id", "asked", "reach").toPandas()
         vectors_of = np.array(part["asked"].tolist(), dtype=np.float64).reshape(len(part), -1)
         sent = spark.sparkContext.broadcast((part["query"].to_numpy(), part["query_id"].to_numpy(), vectors_of, part["reach"].astype(float).fillna(np.inf).to_numpy()))
-        parts.append(materialize(along.select("uid", "vec_id", "embedding").mapInArrow(_searched(sent, k), "query long, query_id long, uid long, vec_id long, score double"), "found"))
-    found = spark.createDataFrame([], "query long, query_id long, uid long, vec_id long, score double")
-    for part in parts:
-        found = found.union(part)
+        along.select("uid", "vec_id", "embedding").mapInArrow(_searched(sent, k), kinds).write.mode("append").parquet(path)
+        sent.unpersist()
+    found = spark.read.schema(kinds).parquet(path)
     return keep(found.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "neighbours")
 
 

@@ -35,7 +35,7 @@ CROWD = 512
 
 
 #: Prefix rows that a task holds.
-HELD = 1 << 22
+HELD = 1 << 20
 
 
 def prefix_length(n):
