@@ -1,6 +1,8 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick in folded text.
 
-Folding writes look-alike letters of other scripts and digits that stand for letters as the letter meant. Entries of the
+Folding writes look-alike letters of other scripts and digits that stand for letters as the letter meant. A text that has
+marks on letters or compatible forms is read a second time without them: what it says with them counts too, since words
+of many languages differ by marks alone. Entries of the
 lexicon are beginnings of words, with weights learned from labelled documents; phrases in which an entry is harmless
 are exceptions, and matches inside them don't count. The weights matched, as they are and per hundred words, give the
 score by a logistic function, fitted on the same documents.
@@ -10,19 +12,23 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import arrow
 from .language_id import held_out
-from .shared import documents, materialize, table
+from .shared import documents, materialize, scratch, table
 
 #: Labelled documents that are learned from, in expectation; entries kept at most.
 SAMPLE, ENTRIES = 20_000, 4_000
@@ -35,8 +41,8 @@ THRESHOLD = 0.7
 
 #: Letters of other scripts that look like Latin ones. Fixed values.
 LOOKALIKES = {
-    "a": "аαɑ", "b": "ьβ", "c": "сϲ", "d": "ԁ", "e": "еε", "h": "һ", "i": "іıι", "j": "ј", "k": "кκ", "m": "м", "n": "ո", "o": "оοօ",
-    "p": "рρ", "q": "ԛ", "r": "г", "s": "ѕ", "t": "тτ", "u": "υս", "v": "ѵν", "w": "ԝω", "x": "хχ", "y": "уγү",
+    "a": "аαɑ", "b": "ьβ", "c": "сϲ", "d": "ԁđð", "e": "еε", "h": "һħ", "i": "іıι", "j": "ј", "k": "кκ", "l": "ł", "m": "м", "n": "ո", "o": "оοօø",
+    "p": "рρ", "q": "ԛ", "r": "г", "s": "ѕ", "t": "тτŧ", "u": "υս", "v": "ѵν", "w": "ԝω", "x": "хχ", "y": "уγү",
 }
 #: Digits and signs written for letters. Fixed values. What is written for i is written for l too, so both fold to i.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "|": "i", "l": "i"}
@@ -54,14 +60,31 @@ def _table() -> dict[int, str | None]:
 
 
 FOLD = _table()
+BARE = FOLD | {c: None for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M"}
 INNER = re.compile(r"(?<=[^\W\d_])!(?=[^\W\d_])")
 WORDS = re.compile(r"[^\W_]+")
 
 
 def fold(text: str) -> str:
     """Lower case, look-alikes and substitutes as letters; a ! between letters is an i."""
-    out = text.lower().translate(FOLD)
-    return INNER.sub("i", out) if "!" in out else out
+    return _inner(text.lower().translate(FOLD))
+
+
+def _inner(text: str) -> str:
+    return INNER.sub("i", text) if "!" in text else text
+
+
+def bare(text: str) -> str:
+    """fold, of the text without marks and with compatible forms as plain letters."""
+    return _inner(unicodedata.normalize("NFKD", text.lower()).lower().translate(BARE))
+
+
+def forms(text: str) -> list[str]:
+    """The ways in which a text is read: folded, and bare where that is another."""
+    out = [fold(text)]
+    if not text.isascii():
+        out += [b for b in [bare(text)] if b != out[0]]
+    return out
 
 
 @dataclass
@@ -97,15 +120,33 @@ def matches(folded: str, automaton: ahocorasick.Automaton) -> list[tuple[int, in
                 free.append((start, last + 1))
         elif start not in best or best[start][0] < last + 1:
             best[start] = (last + 1, weight)
-    return [(a, b, w) for a, (b, w) in best.items() if not any(x <= a and b <= y for x, y in free)]
+    if not free:
+        return [(a, b, w) for a, (b, w) in best.items()]
+    free.sort()
+    starts, ends = [x for x, _ in free], list(accumulate((y for _, y in free), max))  # how far those that begin so early reach
+
+    def inside(a: int, b: int) -> bool:
+        k = bisect_right(starts, a)
+        return k > 0 and ends[k - 1] >= b
 
+    return [(a, b, w) for a, (b, w) in best.items() if not inside(a, b)]
 
-def features(folded: str, automaton: ahocorasick.Automaton) -> tuple[float, float]:
-    """Logarithms of the weights matched, and of the weights matched for each hundred words."""
-    total = sum(w for _, _, w in matches(folded, automaton))
+
+def features(text: str, automaton: ahocorasick.Automaton) -> tuple[float, float]:
+    """Logarithms of the weights matched, and of the weights matched for each hundred words.
+
+    An entry counts as often as in that form of the text that has it most often.
+    """
+    read = forms(text)
+    found = [matches(folded, automaton) for folded in read]
+    if len(read) == 1 or not found[1]:
+        total = sum(w for _, _, w in found[0])
+    else:
+        counts = [Counter((folded[a:b], w) for a, b, w in m) for folded, m in zip(read, found, strict=True)]
+        total = sum(w * n for (_, w), n in (counts[0] | counts[1]).items())
     if not total:
         return 0.0, 0.0
-    return math.log1p(total), math.log1p(100 * total / max(1, len(WORDS.findall(folded))))
+    return math.log1p(total), math.log1p(100 * total / max(1, len(WORDS.findall(read[0]))))
 
 
 def _lexicon_rows(chosen: DataFrame) -> DataFrame:
@@ -142,8 +183,7 @@ def _matched_rows(chosen: DataFrame, lexicon: Lexicon) -> DataFrame:
             for part, texts in arrow.slices([batch]):
                 counts: Counter[tuple[str, bool]] = Counter()
                 for text, toxic in zip(texts, part.column("toxic").to_pylist(), strict=True):
-                    folded = fold(text)
-                    counts.update({(folded[a:b], toxic) for a, b, _ in matches(folded, automaton)})
+                    counts.update({(folded[a:b], toxic) for folded in forms(text) for a, b, _ in matches(folded, automaton)})
                 yield _by_kind("entry", counts)
 
     return arrow.map_texts(chosen, run, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -184,6 +224,16 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
     return tuple(map(float, b))
 
 
+def word_before(folded: str, start: int) -> str:
+    """The word and the space that stand in front of a place, however long the word is; empty if there is none."""
+    begin = start - 1
+    if begin < 1 or folded[begin] != " ":
+        return ""
+    while begin and folded[begin - 1].isalnum():
+        begin -= 1
+    return folded[begin:start] if begin < start - 1 else ""
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     """A lexicon from the texts of docs that labels marks (toxic 0 or 1).
 
@@ -191,11 +241,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     what is learned from. Counts are summed on the executors; at most ENTRIES candidates come to the driver. Labels with
     nulls are left out. Without toxic and clean documents the lexicon is empty.
     """
+    with scratch(docs.sparkSession):
+        return _learned(docs, labels, sample)
+
+
+def _learned(docs: DataFrame, labels: DataFrame, sample: int) -> Lexicon:
     marked = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, sample / max(1, marked.count()))
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
     marked = marked.filter(place < share)  # about `sample` rows, so they may be broadcast
-    chosen = materialize(docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("text", F.col("toxic") == 1), "toxic-sample").toDF("text", "toxic")
+    chosen = materialize(docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("text", (F.col("toxic") == 1).alias("toxic")), "toxic-sample")
     kinds = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     exceptions = tuple(map(fold, EXCEPTIONS))
     if len(kinds) < 2:
@@ -217,7 +272,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
         automaton = Lexicon(*shared.value).automaton()
         for batch in batches:
             for part, texts in arrow.slices([batch]):
-                x = [features(fold(t), automaton) for t in texts]
+                x = [features(t, automaton) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([v[0] for v in x]), pa.array([v[1] for v in x])], ["toxic", "a", "b"])
 
     got = arrow.map_texts(chosen, run, "toxic boolean, a double, b double").toPandas()
@@ -231,7 +286,7 @@ def learn_exceptions(chosen: DataFrame, lexicon: Lexicon, least: int = 5) -> tup
 
     def run(batches):
         automaton = Lexicon(*shared.value).automaton()
-        before, after = re.compile(r"[^\W_]+ $"), re.compile(r"[^\W_]* [^\W_]+")
+        after = re.compile(r"[^\W_]* [^\W_]+")
         for batch in batches:
             for part, texts in arrow.slices([batch]):
                 counts: Counter[tuple[str, bool]] = Counter()
@@ -240,8 +295,8 @@ def learn_exceptions(chosen: DataFrame, lexicon: Lexicon, least: int = 5) -> tup
                     found = set()
                     for start, end, _ in matches(folded, automaton):
                         word = WORDS.match(folded, start)[0]
-                        left, right = before.search(folded[max(0, start - 40) : start]), after.match(folded, end)
-                        found |= {left[0] + word} if left else set()
+                        left, right = word_before(folded, start), after.match(folded, end)
+                        found |= {left + word} if left else set()
                         found |= {folded[start:end] + right[0]} if right else set()
                     counts.update((f, toxic) for f in found)
                 yield _by_kind("phrase", counts)
@@ -257,19 +312,21 @@ def score(docs: DataFrame, lexicon: Lexicon, *keep: str, name: str = "toxicity")
     A null text is an empty one, which has the score of no match. Repeated rows score alike. Texts are whole. Columns
     that aren't kept are not looked at. An empty table gives no rows.
     """
+    if name in keep:
+        raise ValueError(f"{name} is a column that is kept")
     shared = docs.sparkSession.sparkContext.broadcast((lexicon.weights, lexicon.exceptions, lexicon.curve))
 
     def run(batches):
         mine = Lexicon(*shared.value)
         automaton, (c, a, b) = mine.automaton(), mine.curve
         for part, texts in arrow.slices(batches):
-            x = np.array([features(fold(t), automaton) for t in texts])
+            x = np.array([features(t, automaton) for t in texts])
             y = 1 / (1 + np.exp(-np.clip(c + x @ np.array([a, b]), -500, 500)))
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(y)], [*keep, name])
 
     extra = [] if "text" in keep else ["text"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return arrow.map_texts(docs.select(*keep, *extra), run, f"{fields}, `{name}` double")
+    schema = StructType([*docs.select(*keep).schema, StructField(name, DoubleType())])
+    return arrow.map_texts(docs.select(*keep, *extra), run, schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

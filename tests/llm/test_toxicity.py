@@ -28,6 +28,45 @@ def test_fold():
     assert X.fold("10s3r") == X.fold("loser") and X.fold("stupid!") == "stupid!"
 
 
+def test_fold_of_marks_and_compatible_forms():
+    for text in ("ídïot", "İDIOT", "i̇diot", "𝐢𝐝𝐢𝐨𝐭", "ⓘⓓⓘⓞⓣ", "ιδιοτ".replace("δ", "d"), "ıđıøŧ"):
+        assert X.forms(text)[-1] == "idiot", text
+    assert X.forms("fück") == ["fück", "fuck"] and X.forms("漢字 ß") == ["漢字 ß"] and X.forms("") == [""]
+    a = X.Lexicon({"fuck": 3.0, "für": 1.0}, ()).automaton()
+    assert X.features("fück", a) == X.features("fuck", a) and X.features("für fuck fück", a)[0] == X.math.log1p(1 + 2 * 3)
+
+
+def plain_matches(folded, entries, exceptions):
+    """The same by trying every entry at every place."""
+    begins = lambda k: not k or not folded[k - 1].isalnum()
+    ends = lambda k: k == len(folded) or not folded[k].isalnum()
+    free = [(k, k + len(p)) for p in exceptions for k in range(len(folded)) if folded.startswith(p, k) and begins(k) and ends(k + len(p))]
+    out = []
+    for k in range(len(folded)):
+        here = [e for e in entries if begins(k) and folded.startswith(e, k)]
+        if here:
+            e = max(here, key=len)
+            if not any(a <= k and k + len(e) <= b for a, b in free):
+                out.append((k, k + len(e), entries[e]))
+    return out
+
+
+def test_matches_against_brute_force():
+    r = random.Random(8)
+    for _ in range(300):
+        word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 4)))
+        entries = {word(): float(k + 1) for k in range(r.randint(1, 8))}
+        exceptions = tuple({f"{word()} {word()}" for _ in range(r.randint(0, 5))} - set(entries))
+        text = "".join(r.choice(["a", "b", "c", " ", " ", "-"]) for _ in range(r.randint(0, 60)))
+        got = X.matches(text, X.Lexicon(entries, exceptions).automaton())
+        assert sorted(got) == plain_matches(text, entries, exceptions)
+
+
+def test_words_before_are_whole():
+    long = "x" * 100
+    assert X.word_before(f"a {long} idiot", 103) == f"{long} " and X.word_before("idiot", 0) == "" and X.word_before(" idiot", 1) == "" and X.word_before("a-idiot", 2) == ""
+
+
 def test_matches_begin_words_and_miss_exceptions():
     a = X.Lexicon({"trash": 2.0, "tras": 1.0, "moron": 3.0}, ("trash can",)).automaton()
     assert X.matches("a trash can, trashy moronic oxymoron trash cans", a) == [(13, 18, 2.0), (20, 25, 3.0), (37, 42, 2.0)]
