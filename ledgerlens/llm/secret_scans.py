@@ -12,9 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, new_path
+from .shared import documents, let, new_path, scratch
 
 SPANS = "array<struct<start:int,kind:int,stop:int>>"
+#: Matches that are put together at once.
+PART = 256
 
 
 @dataclass(frozen=True)
@@ -54,7 +56,6 @@ def spans(text: Column, rule: Rule, kind: int) -> Column:
     found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
     body = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.body)), F.length) if rule.body else found
     pairs = F.arrays_zip(between.alias("gap"), found.alias("size"), body.alias("body"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
     def step(done, x):
         first = done["at"] + x["gap"]
@@ -63,7 +64,14 @@ def spans(text: Column, rule: Rule, kind: int) -> Column:
         good = x["size"].isNotNull() & (x["body"] >= rule.least)
         return F.struct(stop.alias("at"), F.when(good, F.concat(done["out"], one)).otherwise(done["out"]).alias("out"))
 
-    every = F.aggregate(pairs, start, step, lambda done: done["out"])
+    # appended to short arrays, which are put together at the end: many matches don't copy what is there again and again
+    def put(p: Column) -> Column:
+        part = lambda done, k: F.aggregate(F.slice(p, k, PART), F.struct(done["at"].alias("at"), F.array().cast(SPANS).alias("out")), step)
+        merge = lambda done, k: let(part(done, k), lambda x: F.struct(x["at"].alias("at"), F.concat(done["out"], F.array(x["out"])).alias("out")))
+        parts = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(1)), F.lit(PART)), parts, merge, lambda done: F.flatten(done["out"]))
+
+    every = let(pairs, put)
     return F.when(text.rlike(rule.pattern), every).otherwise(F.array().cast(SPANS))
 
 
@@ -88,7 +96,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None, rules=RULES) -> D
 
 
 class Ledger:
-    """The scanned pairs, as a Parquet table that only grows; an increment is one atomic append."""
+    """The scanned pairs, as a Parquet table that only grows. Two writers may append the same pairs: they are read as one."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -107,17 +115,19 @@ class Ledger:
 def findings_of(ledger: DataFrame, rules=RULES) -> DataFrame:
     """blob_id and found: all spans under the present rule versions by start, then rule; blobs with findings only."""
     present = ledger.filter(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0))
-    return present.groupBy("blob_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("found"))
+    return present.groupBy("blob_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("found"))
 
 
-def secrets(versions: DataFrame, ledger: Ledger, rules=RULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def secrets(versions: DataFrame, ledger: Ledger, rules=RULES, keep: tuple[str, ...] = ("doc_id",), news: Column | None = None) -> DataFrame:
     """Every row of versions (its `keep` columns) with blob_id and found, an array of (start, kind, stop), maybe empty.
+    news: the rows that the ledger may not have had; all, if it isn't given.
 
     A null text is an empty one. Repeated rows each get their findings. An empty table gives no rows. Other columns
-    of versions are not looked at. A blob held by a third of all paths is a hot key of the last join only, whose large
+    of versions are not looked at. Texts are whole, of any length; of matches of one rule that begin at one place there
+    is one, and spans of several rules that tie stand in the order of rules. A blob held by a third of all paths is a hot key of the last join only, whose large
     side Spark may split.
     """
-    found = findings_of(ledger.scan(versions.select("text"), rules), rules)
+    found = findings_of(ledger.scan((versions if news is None else versions.filter(news)).select("text"), rules), rules)
     paths = versions.select(*keep, blob_id(F.col("text")).alias("blob_id"))
     return paths.join(found, "blob_id", "left").withColumn("found", F.coalesce("found", F.array().cast(SPANS)))
 
@@ -152,8 +162,19 @@ def described(found: Column, rules=RULES) -> Column:
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest of the findings in documents; the ledger adds no spans of its own, so all spans are the base ones."""
-    rows = secrets(documents(spark, sf_dir), Ledger(spark, new_path(spark, "secret-ledger")))
+    """The digest of the findings in documents; the ledger adds no spans of its own, so all spans are the base ones.
+
+    Documents come in two increments, so the second scans only texts that the first hasn't had.
+    """
+    docs = documents(spark, sf_dir)
+    with scratch(spark) as keep:
+        ledger = Ledger(spark, new_path(spark, "secret-ledger"))
+        early = F.xxhash64("doc_id") % 2 == 0
+        ledger.scan(docs.filter(early).select("text"))
+        return keep(_digests(secrets(docs, ledger, news=~early)), "secrets")
+
+
+def _digests(rows: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long")
     rows = rows.select("doc_id", *[count(k).alias(f"n_{r.name}") for k, r in enumerate(RULES)], described(F.col("found")).alias("spans"), F.lower(F.hex("blob_id")).alias("blob"))
     return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("spans").cast("binary"), 256).alias("base_sha256"), "spans", "blob")

@@ -47,6 +47,17 @@ def test_only_unseen_pairs_are_scanned(spark, make_docs, tmp_path):
     assert len(rows) == len(TEXTS) and ledger.read().count() == first + blobs
 
 
+def test_two_writers_on_one_ledger_give_each_finding_once(spark, make_docs, tmp_path):
+    _, docs = make_docs(TEXTS)
+    ledger = S.Ledger(spark, str(tmp_path / "ledger"))
+    plans = [S.scan_unseen(docs, ledger.read()) for _ in range(2)]
+    for plan in plans:  # both were made before either was written
+        plan.write.mode("append").parquet(ledger.path)
+    assert ledger.read().count() == 2 * 3 * len({t or "" for t in TEXTS})
+    got = {r.doc_id: r.spans for r in S._digests(S.secrets(docs, ledger)).collect()}
+    assert got == {k: expected(t) for k, t in enumerate(TEXTS)}
+
+
 def test_empty_table_and_redaction(spark, make_docs):
     at, docs = make_docs(["a"])
     empty = docs.limit(0)
