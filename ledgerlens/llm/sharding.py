@@ -10,19 +10,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hilbert import hilbert_column
-from .shared import documents, ranked
+from .shared import documents, ranked, scratch
 
 BITS = 4
 
 
-def category_cell(column: Column, bits: int = BITS) -> Column:
-    """Equal values share a cell, null has one too."""
-    return F.coalesce(F.pmod(F.xxhash64(column.cast("string")), F.lit(1 << bits)), F.lit(0))
+def category_cell(rows: DataFrame, name: str, bits: int = BITS) -> Column:
+    """A value's place in the order of values, by the share of rows up to the middle of its own, so that cells hold equally many.
+
+    The driver holds the most frequent values, one less than there are cells; all others and null come last.
+    """
+    cells = 1 << bits
+    counts = rows.groupBy(name).count()
+    total = counts.agg(F.sum("count")).first()[0] or 1
+    most = counts.filter(F.col(name).isNotNull()).orderBy(F.desc("count"), name).limit(cells - 1).collect()
+    cell, before = F.lit(cells - 1), 0
+    for r in sorted(most, key=lambda r: r[name]):
+        cell = F.when(F.col(name) == r[name], F.lit(int(cells * (before + r["count"] / 2) / total))).otherwise(cell)
+        before += r["count"]
+    return cell
 
 
-def scale_cell(column: Column, bits: int = BITS) -> Column:
-    """A logarithmic scale of whole numbers from 0; null is 0."""
-    return F.least(F.floor(F.log2(F.greatest(F.coalesce(column, F.lit(0)), F.lit(0)) + 1)), F.lit((1 << bits) - 1))
+def depth_cell(column: Column, cuts: list) -> Column:
+    """How many of the cuts (ascending) a value is above; null is below all."""
+    return sum((F.coalesce((column > cut).cast("int"), F.lit(0)) for cut in cuts), F.lit(0))
 
 
 def range_cell(column: Column, low: Column, high: Column, bits: int = BITS) -> Column:
@@ -51,14 +62,22 @@ def curve_shards(rows: DataFrame, cells: list[Column], order: list[str], shards:
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, lang, source, hilbert, shard and slot of every document, the texts left where they are.
 
-    The dimensions are lang, source, size and doc_id. Null texts have crc 0 and no bytes; nulls in any dimension are
-    cell 0. Equal texts follow each other where their dimensions agree. Repeated rows are rows of their own.
+    The dimensions are lang, source, size and doc_id. Null texts have crc 0 and no bytes; nulls in lang and source share
+    a cell with rare values, in the others they are cell 0. Equal texts follow each other where their dimensions agree.
+    Repeated rows are rows of their own. Texts of any length are read once and never moved. An empty table gives no
+    rows. Other columns are not looked at. The result is written; the tables made on the way are deleted.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_sharded(docs, shards), "shards")
+
+
+def _sharded(docs: DataFrame, shards: int) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "lang", "source")
-    low, high = docs.agg(F.min("doc_id").cast("double"), F.max("doc_id").cast("double")).first()
+    shares = F.array(*[F.lit(k / (1 << BITS)) for k in range(1, 1 << BITS)])
+    low, high, cuts = rows.agg(F.min("doc_id").cast("double"), F.max("doc_id").cast("double"), F.percentile_approx("size", shares, 1000)).first()
     place = range_cell(F.col("doc_id"), F.lit(low).cast("double"), F.lit(high).cast("double"))
-    cells = [category_cell(F.col("lang")), category_cell(F.col("source")), scale_cell(F.col("size") / 64), place]
+    cells = [category_cell(docs, "lang"), category_cell(docs, "source"), depth_cell(F.col("size"), cuts or []), place]
     return curve_shards(rows, cells, ["size", "text_crc32", "doc_id"], shards)
 
 

@@ -42,6 +42,18 @@ def test_counts_slots_and_values(spark, make_docs):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+def test_bounds_of_shards_prune(spark, make_docs):
+    n = 2400
+    langs, sources = [["en"] * 6 + ["de", "fr", "es", None], [f"s{k}" for k in range(12)]][0], [f"s{k}" for k in range(12)]
+    at, docs = make_docs(["w " * (1 + k * 7919 % 500) for k in range(n)], ids=[k * 7919 % n for k in range(n)], langs=[langs[k % 10] for k in range(n)], sources=[sources[k % 12] for k in range(n)])
+    rows = S.shard_documents(docs).collect()
+    held = lambda wanted: len({r.shard for r in rows if wanted(r)})
+    # 24 shards are about two and a bit to a dimension, so one dimension leaves about half to two thirds of them
+    assert all(held(lambda r, v=v: r.lang == v) <= 17 for v in ("de", "fr", "es")) and all(held(lambda r, v=v: r.source == v) <= 17 for v in sources)
+    assert held(lambda r: r["size"] > 900) <= 14 and held(lambda r: r.doc_id < 200) <= 14
+    assert 0 < held(lambda r: r.lang == "de" and r["size"] > 900) <= 10 and 0 < held(lambda r: r.lang == "de" and r.source == "s2" and r.doc_id < 1200) <= 6
+
+
 def test_few_rows_and_none(spark, make_docs):
     at, docs = make_docs(["a", "b"])
     assert sorted((r.shard, r.slot) for r in S.op2_sharding(spark, at).collect()) == [(0, 0), (1, 0)]
