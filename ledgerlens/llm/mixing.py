@@ -20,6 +20,8 @@ from .shared import WORD, documents, materialize, scratch
 #: Times that a document may be used; the seed of the order; bits of the order looked at in one round; documents on
 #: either side of a pattern's cut among which its last words are looked for.
 COPIES, SEED, BITS, LAST = 3, 20_240, 12, 256
+#: Most rows of a plan that are broadcast.
+FEW = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -69,6 +71,12 @@ def min_cost_flow(patterns: dict[str, int], members: dict[str, list[str]], quota
     for _ in range(copies):
         for p, size in patterns.items():
             free[p] += size
+        for p in sorted(patterns):  # words that can go to one source only go there first, which takes nothing from others
+            if len(members[p]) == 1 and members[p][0] in need:
+                amount = min(need[members[p][0]], free[p])
+                flow[p][members[p][0]] += amount
+                need[members[p][0]] -= amount
+                free[p] -= amount
         while True:
             back: dict[str, tuple[str, str]] = {}  # a source is reached from a pattern, which was reached through a source or has words left
             came: dict[str, str | None] = {p: None for p in sorted(patterns) if free[p] > 0}
@@ -105,6 +113,11 @@ def min_cost_flow(patterns: dict[str, int], members: dict[str, list[str]], quota
     return {p: {s: n for s, n in f.items() if n} for p, f in flow.items()}
 
 
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """A table of numbers that the driver has made, to be broadcast if it has few rows, and joined as any other if not."""
+    return F.broadcast(table) if rows <= FEW else table
+
+
 def _cuts(rows: DataFrame, wanted: dict[str, int]) -> tuple[dict[str, tuple[int, int]], list[tuple[int]]] | None:
     """For each pattern the order's place before which all documents are taken, and single documents past it.
 
@@ -120,7 +133,7 @@ def _cuts(rows: DataFrame, wanted: dict[str, int]) -> tuple[dict[str, tuple[int,
             break
         width = 60 - BITS * level
         at = spark.createDataFrame([(p, state[p]["low"], state[p]["low"] + (1 << (width + BITS)), state[p]["before"], state[p]["want"]) for p in sorted(open_)], "pattern string, low long, high long, before long, want long")
-        here = rows.join(F.broadcast(at), "pattern").filter("place >= low and place < high")
+        here = rows.join(_small(at, len(open_)), "pattern").filter("place >= low and place < high")
         sums = here.groupBy("pattern", "before", "want", F.shiftright("place", width).alias("part")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
         sums = sums.withColumn("end", F.expr("before + sum(size) over (partition by pattern order by part)"))
         sums = sums.withColumn("past", F.expr("sum(if(end > want, n, 0)) over (partition by pattern order by part)"))
@@ -147,7 +160,7 @@ def _cuts(rows: DataFrame, wanted: dict[str, int]) -> tuple[dict[str, tuple[int,
                 done[p] = (begin["part"] << width, (max(r["last"] or 0, r["first"]["part"]) + 1) << width)
                 open_.remove(p)
     near = spark.createDataFrame([(p, *x) for p, x in done.items()], "pattern string, low long, high long")
-    late = rows.join(F.broadcast(near), "pattern").filter("place >= low and place < high and size > 0").select("pattern", "place", "size").collect()
+    late = rows.join(_small(near, len(done)), "pattern").filter("place >= low and place < high and size > 0").select("pattern", "place", "size").collect()
     single = []
     for p, group in groupby(sorted(late, key=lambda r: (r["pattern"], r["place"])), key=lambda r: r["pattern"]):
         units = [(place, sum(r["size"] for r in rows)) for place, rows in groupby(group, key=lambda r: r["place"])]
@@ -192,7 +205,7 @@ class Plan:
         out = placed(rows, self.seed, self.by_row)
         plan = spark.createDataFrame(self.rows, "_pattern string, _whole int, _cut long")
         single = spark.createDataFrame([(*x, 1) for x in self.single], "_pattern string, _place long, _extra int")
-        out = out.join(F.broadcast(plan), "_pattern", "left").join(F.broadcast(single), ["_pattern", "_place"], "left")
+        out = out.join(_small(plan, len(self.rows)), "_pattern", "left").join(_small(single, len(self.single)), ["_pattern", "_place"], "left")
         more = F.when((F.col("_place") < F.col("_cut")) | F.col("_extra").isNotNull(), F.lit(1)).otherwise(F.lit(0))
         return out.withColumn("uses", F.coalesce("_whole", F.lit(0)) + more).drop("_whole", "_cut", "_extra", "_pattern", "_place")
 
@@ -249,10 +262,11 @@ def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     with one id are taken together. A source with a third of all rows is summed by parts of the order. Other columns are
     not looked at. An empty table gives no rows. The driver holds a few numbers for each source.
     """
-    rows = materialize(identified(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))), "sizes")
-    plan, info = plan_documents(rows, seed)
-    out = plan.uses(rows).join(F.broadcast(info), F.col("source").eqNullSafe(F.col("s")))
-    return out.select("doc_id", "source", "size", "source_size", "target", "uses", (F.col("size") * F.col("uses")).alias("taken"))
+    with scratch(docs.sparkSession) as keep:
+        rows = materialize(identified(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))), "sizes")
+        plan, info = plan_documents(rows, seed)
+        out = plan.uses(rows).join(_small(info, len(plan.rows)), F.col("source").eqNullSafe(F.col("s")))
+        return keep(out.select("doc_id", "source", "size", "source_size", "target", "uses", (F.col("size") * F.col("uses")).alias("taken")), "mixed")
 
 
 def realised(docs: DataFrame, seed: int = SEED) -> DataFrame:

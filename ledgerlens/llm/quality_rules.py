@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import NOT_SPACE, documents, let, materialize, table
+from .shared import NOT_SPACE, documents, let, materialize, scratch, table
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -196,6 +196,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list
     is learned from, and of what comes to the driver, which are numbers only. Labels with nulls are left out; texts that
     fail the base rules don't teach. Without bad rows there are no rules.
     """
+    with scratch(docs.sparkSession):
+        return _learned(docs, labels, sample)
+
+
+def _learned(docs: DataFrame, labels: DataFrame, sample: int) -> list[list[Term]]:
     marked = labels.select("doc_id", "quality").filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = min(1.0, sample / max(1, marked.count()))
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)

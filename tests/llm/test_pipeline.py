@@ -101,6 +101,20 @@ def test_stages_on_no_rows(spark, stages):
         assert stage(spark, docs.limit(0), at).count() == 0
 
 
+def test_columns_of_the_input_are_not_touched(spark, make_docs, stages):
+    at, _ = stages
+    base = prose(70, 40)
+    _, docs = make_docs([base, base, "token=abcdefgh " + prose(71, 30), None], ids=[3, 1, 1, None])
+    own = {"_id": "doc_id * 10", "_slot": "'slot'", "_word": "1.5", "marked": "doc_id is null", "_toxicity": "9", "_row": "array(1)", "_stays": "'x'", "found": "2", "blob_id": "3", "uses": "4", "uid": "5", "a b": "6"}
+    docs = docs.drop("blob_id").selectExpr("*", *[f"{v} as `{k}`" for k, v in own.items()])
+    shown = lambda df: sorted(str([r[c] for c in ("doc_id", *own)]) for r in df.collect())
+    for name, stage in P.STAGES[:-1]:
+        made = stage(spark, docs, at)
+        assert made.columns == docs.columns, name
+        assert set(shown(made)) <= set(shown(docs))
+    assert P.drop_copies(spark, docs, at).count() == 3 and P.redact_secrets(spark, docs, at).filter("text like '[REDACTED]%'").count() == 1
+
+
 def test_rows_that_share_an_id_are_rows_of_their_own(spark, make_docs):
     one, two, three = prose(60, 40), prose(61, 40), prose(62, 40)
     _, docs = make_docs([one, two, three, one, prose(63, 40), three], ids=[5, 5, 9, 2, (1 << 62) + 1, 9])
