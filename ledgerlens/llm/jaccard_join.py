@@ -2,9 +2,10 @@
 
 1. Equal sets are one class. A class has a size and a signature.
 2. In any fixed order of shingles, linked sets share one of the first n - ceil(0.8 n) + 1 (their prefix). The order is
-   by hash, with shingles that are frequent in prefixes by hash alone put last, so that passages which many documents
-   have don't bring their documents together. Frequent ones are a bitmap of fixed size over hashes; a false one only
-   changes the order.
+   by hash, with frequent shingles put last, so that passages which many documents have don't bring their documents
+   together. Frequent are those in many prefixes by hash alone, and those in several whole sets of a sample of classes:
+   once some of a prefix are put last, others move up that no prefix by hash alone has. They are a bitmap of fixed size
+   over hashes; a missed or false one only changes the order.
 3. Classes that share a prefix shingle with few others make pairs; pairs whose sizes or signatures don't allow a link
    go. Classes that share one with many make a star; the components of the stars are crowds, and a signature tree over
    a crowd finds what signatures allow. The components of all that (clusters) hold every link.
@@ -32,6 +33,8 @@ FEW = 16
 BLOCK, ASKING = 128, 512
 #: Classes of a crowd (those that share frequent prefix shingles) whose signatures one tree holds.
 CROWD = 512
+#: One class in so many gives its whole set to find frequent shingles; those that OFTEN of these have are frequent.
+SAMPLE, OFTEN = 16, 4
 
 
 #: Prefix rows that a task holds.
@@ -64,27 +67,44 @@ def _prefixes(shingles: np.ndarray, counts: np.ndarray, late: np.ndarray | None)
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (the text's hash), n, cls (null for an empty set), signature and prefix (by hash alone) of every document."""
+    """doc_id, mark (the text's hash), n, cls (null for an empty set), signature and prefix (by hash alone) of every document,
+    and sample: the whole set of one class in SAMPLE, null elsewhere and where the task has given the class before.
+    """
+    rate = SAMPLE
 
     def run(batches):
+        seen: set[int] = set()
         for part, texts in arrow.slices(batches):
             shingles, counts = shingle_sets(texts)
             cls = class_of(shingles, counts)
             prefix, length = _prefixes(shingles, counts, None)
+            sampled = (counts > 0) & (mix(cls.view(np.uint64)) % np.uint64(rate) == 0)
+            for k in np.flatnonzero(sampled).tolist():
+                sampled[k] = (c := int(cls[k])) not in seen
+                seen.add(c)
+            places = pa.array(np.r_[0, np.cumsum(np.where(sampled, counts, 0))].astype(np.int32), mask=np.r_[~sampled, False])
+            sample = pa.ListArray.from_arrays(places, pa.array(shingles[np.repeat(sampled, counts)].view(np.int64)))
             ends = np.cumsum(counts)
             marks = [signature_tree.bitmap(shingles[e - n : e], signature_tree.bits_for(n)).tobytes() if n else None for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
             offsets = pa.array(np.r_[0, np.cumsum(length)].astype(np.int32))
-            columns = [part.column("doc_id"), part.column("mark"), pa.array(counts.astype(np.int64)), pa.array(cls, mask=counts == 0), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(prefix.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n", "cls", "signature", "prefix"])
+            columns = [part.column("doc_id"), part.column("mark"), pa.array(counts.astype(np.int64)), pa.array(cls, mask=counts == 0), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(prefix.view(np.int64))), sample]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n", "cls", "signature", "prefix", "sample"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow.map_texts(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")), run, f"doc_id {kind}, mark long, n long, cls long, signature binary, prefix array<long>")
+    return arrow.map_texts(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")), run, f"doc_id {kind}, mark long, n long, cls long, signature binary, prefix array<long>, sample array<long>")
+
+
+def frequent(rows: DataFrame) -> np.ndarray:
+    """The bitmap of shingles that more than FEW prefixes or at least OFTEN sampled classes have, as 64-bit words: 1 MB at
+    any size of the input. rows: of sized.
+    """
 
+    def found(sets, least):
+        counted = sets.select(F.explode("set").alias("s")).groupBy("s").count().filter(F.col("count") >= least)
+        return counted.select(F.shiftrightunsigned("s", 64 - SLOT_BITS).alias("s"))
 
-def frequent(prefixes: DataFrame) -> np.ndarray:
-    """The bitmap of shingles that more than FEW prefixes have, as 64-bit words: 1 MB at any size of the input."""
-    counted = prefixes.select(F.explode("prefix").alias("s")).groupBy("s").count().filter(F.col("count") > FEW)
-    words = slot_words(counted.select(F.shiftrightunsigned("s", 64 - SLOT_BITS))).collect()
+    sampled = rows.filter(F.col("sample").isNotNull()).groupBy("cls").agg(F.first("sample").alias("set"))
+    words = slot_words(found(rows.select(F.col("prefix").alias("set")), FEW + 1).union(found(sampled, OFTEN))).collect()
     out = np.zeros(1 << (SLOT_BITS - 6), dtype=np.int64)
     for r in words:
         out[r["word"]] = r["bits"]
@@ -332,7 +352,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def _components(docs: DataFrame) -> DataFrame:
     rows = materialize(sized(docs), "sized")
-    late = frequent(rows.select("prefix"))
+    late = frequent(rows)
     # copies meet here once, after each task has summed its own; later joins have a row for each class
     one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark"))
     classes = rows.filter("n > 0").groupBy("cls").agg(one.alias("one"), F.max("n").alias("n"), F.first("signature").alias("signature"))

@@ -70,6 +70,24 @@ def test_against_all_pairs(spark, make_docs, monkeypatch, sizes):
     assert sorted(got) == expected(list(zip(ids, texts, strict=True)))
 
 
+def test_documents_with_one_passage_are_no_crowd(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(J, "FEW", 4)
+    stars = []
+
+    def counted(dealt, met=J.met):
+        found = J.materialize(met(dealt), "met")
+        stars.append(found.filter(found.kind == J.STAR).count())
+        return found
+
+    monkeypatch.setattr(J, "met", counted)
+    passage = prose(1, 200)
+    texts = [prose(1000 + k, 200) + " " + passage for k in range(400)] + [prose(1000, 200) + " " + passage + " end"]
+    _, docs = make_docs(texts)
+    got = sorted((r.doc_id, r.component_id) for r in J.jaccard_components(docs).collect())
+    assert got == [(k, k % 400) for k in range(401)]
+    assert stars == [0]
+
+
 def test_null_and_repeated_ids_and_empty_table(spark, make_docs):
     base = prose(5, 50)
     texts, ids = [base, base + " more", base, "other words that stand here alone", None], [None, 4, 4, 4, None]
