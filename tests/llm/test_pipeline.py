@@ -8,6 +8,7 @@ from test_mixing import M
 from test_secret_scans import KEY, PATTERNS
 
 import corpus_pipeline as P
+from ledgerlens.llm import jaccard_join as J
 
 BAD = ["idiot", "moron", "loser", "worthless"]
 
@@ -95,6 +96,17 @@ def test_copies_with_null_and_repeated_ids(spark, make_docs):
     assert sorted((str(r.doc_id), len(shingles(r.text)) > 0) for r in got) == [("4", True), ("7", False), ("None", False), ("None", True), ("None", True)]
 
 
+def test_documents_with_one_passage_are_not_compared(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(J, "FEW", 4)
+    keys = []
+    monkeypatch.setattr(J, "tree_links", lambda rows, by, links=J.tree_links: keys.append((by, rows.count())) or links(rows, by))
+    passage = prose(1, 200)
+    _, docs = make_docs([prose(1000 + k, 200) + " " + passage for k in range(300)] + [prose(1000, 200) + " " + passage + " end"])
+    kept = P.drop_copies(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == list(range(300))
+    assert keys == [(["component", "block"], 0), (["component", "block"], 2)]
+
+
 def test_stages_on_no_rows(spark, stages):
     at, out = stages
     for (_, stage), docs in zip(P.STAGES, out, strict=False):
