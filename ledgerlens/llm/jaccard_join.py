@@ -8,15 +8,19 @@
    over hashes; a missed or false one only changes the order.
 3. Classes that share a prefix shingle with few others make pairs; pairs whose sizes or signatures don't allow a link
    go. Classes that share one with many make a star; the components of the stars are crowds, and a signature tree over
-   a crowd finds what signatures allow. The components of all that (clusters) hold every link.
+   a crowd finds what signatures allow. A large crowd is no group to compare: chance joins ever more stars as the input
+   grows. It falls apart into circles, the classes with one leader, so that only those with a shingle in common meet.
+   The components of all that (clusters) hold every link.
 4. A signature tree over each cluster, now with texts, finds links that are exact on the whole sets and connect all
-   that is connected. A large crowd or cluster is cut into blocks, each with its anchors; what is then outside the
+   that is connected. A large circle or cluster is cut into blocks, each with its anchors; what is then outside the
    largest group is compared with every block, so no pair goes untested but those in one group.
 5. The components of the links are the result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import arrow, signature_tree
 from .components import components
-from .shared import SLOT_BITS, documents, marked, materialize, scratch, slot_of, slot_words
+from .shared import SLOT_BITS, documents, freed_shuffles, marked, materialize, scratch, slot_of, slot_words
 from .shingles import mix, shingle_sets
 
 #: Most classes with one prefix shingle that are paired; those with more make a star.
@@ -167,12 +171,13 @@ def prefix_rows(docs: DataFrame, late: np.ndarray) -> DataFrame:
 
 
 #: Kinds of rows that met() gives.
-PAIR, STAR = 0, 1
+PAIR, STAR, TOLD = 0, 1, 2
 
 
 def met(rows: DataFrame) -> DataFrame:
     """kind, a, b, n: pairs of classes with a rare shingle in common whose sizes allow a link (a < b), and, for each class
-    that has a frequent one with others, the class (a, of size n) and one that leads (b), as often as it has such.
+    that has a frequent one with others, the class (a, of size n) and one that leads (b), as often as it has such: TOLD
+    if b led in a task, and is itself led by one that leads all, else STAR.
 
     rows of prefix_rows. They move once; those with one shingle are sorted by class and looked at as they come: of a
     frequent one the first class leads and no other is held, of a rare one there are FEW at most.
@@ -222,7 +227,7 @@ def met(rows: DataFrame) -> DataFrame:
             if batch is not None:
                 told = batch.filter(batch.column("shingle").is_null())
                 if len(told):
-                    yield made(STAR, *(told.column(x).to_numpy() for x in ("cls", "many", "n")))
+                    yield made(TOLD, *(told.column(x).to_numpy() for x in ("cls", "many", "n")))
                 plain = batch.filter(batch.column("shingle").is_valid())
                 parts.append([plain.column(x).to_numpy(zero_copy_only=False) for x in ("shingle", "cls", "n", "many")])
             if not parts:
@@ -338,6 +343,29 @@ def cluster_links(members: DataFrame, block: int) -> DataFrame:
     return found.union(tree_links(each.union(asking), ["component", "part", "block"]))
 
 
+def circles(stars: DataFrame, crowds: DataFrame, marks: DataFrame) -> DataFrame:
+    """component, cls, n, signature, weight: groups that hold all pairs of classes with a frequent shingle in common.
+
+    stars: kind, a, b, distinct; crowds: component and cls, their components; marks: of each class. A crowd that a tree
+    holds is a group. Of a larger one, each leader's classes are, with those that one of them leads in a task. A leader
+    with more than CROWD has a group for each two neighbouring ranges of sizes: linked sizes are in one or in two.
+    """
+    sizes = materialize(crowds.groupBy("component").agg(F.count("*").alias("size")), "crowds")
+    large = materialize(crowds.join(sizes.filter(F.col("size") > CROWD), "component").select("cls"), "large-crowds")
+    if large.isEmpty():
+        return crowds.join(marks, "cls")
+    whole = crowds.join(sizes.filter(F.col("size") <= CROWD), "component").select("component", "cls").join(marks, "cls")
+    of = stars.join(large, stars.a == large.cls).select("kind", "cls", F.col("b").alias("leader"))
+    led = of.filter(F.col("kind") == STAR).select("cls", "leader")
+    told = of.filter(F.col("kind") == TOLD).select("cls", F.col("leader").alias("first")).join(led.withColumnRenamed("cls", "first"), "first")
+    led = materialize(led.union(told.select("cls", "leader")).distinct(), "led")
+    counted = materialize(led.groupBy("leader").agg(F.count("*").alias("size")).filter("size > 1"), "leaders")  # written, so that Spark can split the join
+    own = F.floor(F.log("n") / math.log(1.25)).cast("int")
+    rows = led.join(counted, "leader").join(marks, "cls")
+    rows = rows.withColumn("range", F.explode(F.when(F.col("size") > CROWD, F.array(own, own + 1)).otherwise(F.array(F.lit(-1)))))
+    return whole.unionByName(rows.withColumn("component", F.xxhash64("leader", "range")).drop("leader", "size", "range"))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of every document.
 
@@ -346,25 +374,29 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     unless all are null. Other columns of docs are not looked at. An empty table gives no rows. The result is written;
     the tables made on the way are deleted.
     """
-    with scratch(docs.sparkSession) as keep:
+    spark = docs.sparkSession
+    with scratch(spark) as keep, freed_shuffles(spark):
         return keep(_components(docs), "jaccard-components")
 
 
 def _components(docs: DataFrame) -> DataFrame:
-    rows = materialize(sized(docs), "sized")
-    late = frequent(rows)
-    # copies meet here once, after each task has summed its own; later joins have a row for each class
-    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark"))
-    classes = rows.filter("n > 0").groupBy("cls").agg(one.alias("one"), F.max("n").alias("n"), F.first("signature").alias("signature"))
-    classes = materialize(classes.select("cls", F.col("one.doc_id").alias("doc"), "one.mark", "n", "signature"), "classes")
+    with scratch(docs.sparkSession) as keep:  # prefixes and samples go before prefix rows move
+        rows = materialize(sized(docs), "sized")
+        late = frequent(rows)
+        # copies meet here once, after each task has summed its own; later joins have a row for each class
+        one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark"))
+        classes = rows.filter("n > 0").groupBy("cls").agg(one.alias("one"), F.max("n").alias("n"), F.first("signature").alias("signature"))
+        classes = keep(classes.select("cls", F.col("one.doc_id").alias("doc"), "one.mark", "n", "signature"), "classes")
+        rows = keep(rows.select("doc_id", "n", "cls"), "rows")
     found = materialize(met(prefix_rows(docs, late)), "met")
     few = materialize(found.filter(F.col("kind") == PAIR).select("a", "b").distinct(), "pairs")
-    stars = found.filter(F.col("kind") == STAR)
+    stars = found.filter(F.col("kind") != PAIR)
     weight = stars.groupBy(F.col("a").alias("cls")).agg((F.count("*") / F.max("n")).alias("weight"))
     wanted = few.select(F.explode(F.array("a", "b")).alias("cls")).union(weight.select("cls")).distinct()
     marks = materialize(classes.select("cls", "n", "signature").join(wanted, "cls", "left_semi").join(weight, "cls", "left").fillna(0.0, ["weight"]), "marks")
-    crowds = components(stars.select("a", "b").distinct()).withColumnsRenamed({"node": "cls"})
-    edges = allowed(few, marks).union(cluster_links(crowds.join(marks, "cls"), CROWD))
+    stars = materialize(stars.select("kind", "a", "b").distinct(), "stars")
+    crowds = components(stars.select("a", "b")).withColumnsRenamed({"node": "cls"})
+    edges = allowed(few, marks).union(cluster_links(circles(stars, crowds, marks), CROWD))
     clusters = components(edges).withColumnsRenamed({"node": "cls"})
     members = clusters.join(classes.select("cls", "doc", "mark"), "cls").join(marks.select("cls", "n", "weight"), "cls")
     texts = materialize(with_texts(materialize(members, "members"), docs), "cluster-texts")

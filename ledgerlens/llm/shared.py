@@ -80,6 +80,21 @@ def scratch(spark: SparkSession):
             _paths.remove(path)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Queries that run inside delete their shuffle files as they end, not when the driver happens to collect its garbage.
+
+    For what is written with materialize: no query reads another's shuffle files. The setting is put back.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, however often body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -88,6 +88,21 @@ def test_documents_with_one_passage_are_no_crowd(spark, make_docs, monkeypatch):
     assert stars == [0]
 
 
+def test_a_crowd_of_many_stars_is_not_compared_as_one(spark, make_docs, monkeypatch):
+    """Passages that a few documents have, two in each document, chain all documents to one crowd, of which few are linked."""
+    for name, value in (("FEW", 4), ("CROWD", 16), ("frequent", lambda rows: np.zeros(1 << (J.SLOT_BITS - 6), dtype=np.uint64))):
+        monkeypatch.setattr(J, name, value)
+    keys = []
+    monkeypatch.setattr(J, "tree_links", lambda rows, by, links=J.tree_links: keys.append(("text" in rows.columns, rows.count())) or links(rows, by))
+    passages = [prose(10 + k, 40, 3000) for k in range(61)]
+    texts = [f"{passages[k // 6]} {prose(500 + k, 40, 3000)} {passages[k // 6 + 1]}" for k in range(360)]
+    texts += [texts[7] + " end", "start " + texts[200]]
+    _, docs = make_docs(texts)
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(docs).collect()}
+    assert got == {k: k for k in range(360)} | {360: 7, 361: 200}
+    assert sum(n for exact, n in keys if not exact) < 12 * len(texts)
+
+
 def test_null_and_repeated_ids_and_empty_table(spark, make_docs):
     base = prose(5, 50)
     texts, ids = [base, base + " more", base, "other words that stand here alone", None], [None, 4, 4, 4, None]

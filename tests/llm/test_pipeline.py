@@ -107,6 +107,15 @@ def test_documents_with_one_passage_are_not_compared(spark, make_docs, monkeypat
     assert keys == [(["component", "block"], 0), (["component", "block"], 2)]
 
 
+def test_stage_2_leaves_no_shuffle_files_and_no_setting(spark, make_docs, monkeypatch):
+    key, shuffles = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    monkeypatch.setattr(J, "components", lambda edges, real=J.components: shuffles.append(spark.conf.get(key)) or real(edges))
+    old = spark.conf.get(key, "false")
+    _, docs = make_docs([prose(k, 30) for k in range(20)] + [prose(3, 30)])
+    assert P.drop_copies(spark, docs, "").count() == 20
+    assert shuffles and set(shuffles) == {"true"} and spark.conf.get(key) == old
+
+
 def test_stages_on_no_rows(spark, stages):
     at, out = stages
     for (_, stage), docs in zip(P.STAGES, out, strict=False):
