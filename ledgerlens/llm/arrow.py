@@ -34,12 +34,13 @@ def map_texts(rows: DataFrame, run, schema: str) -> DataFrame:
 
 
 def trim() -> None:
+    pa.default_memory_pool().release_unused()  # Arrow's own, which the C library doesn't know
     with suppress(OSError, AttributeError):  # other C libraries
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """The batches in parts of bounded text, with the column as strings; a null is an empty string."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The batches in parts of bounded text (`most` characters and the rest of a text), with the column as strings; a null is an empty string."""
     for batch in batches:
         at, size = 0, 0
         texts: list[str] = []
@@ -47,7 +48,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             text = value.as_py() or ""
             texts.append(text)
             size += len(text) + 16
-            if size >= SLICE:
+            if size >= most:
                 yield batch.slice(at, len(texts)), texts
                 at, size, texts = at + len(texts), 0, []
         if texts:

@@ -207,8 +207,9 @@ class Run:
 class Encoder:
     """Texts to token ids, with the tokens of words seen before kept up to a bound."""
 
-    #: Words kept, and ids of all of them; bytes of the longest word merged with others; characters handled at once.
-    KEPT, IDS, LONG, PART = 1_600_000, 1 << 23, 256, 1 << 20
+    #: Words kept, ids of all of them, and bytes of those longer than words.SHORT: some 50 MB in all, for each worker of
+    #: an executor; bytes of the longest word merged with others; characters handled at once.
+    KEPT, IDS, BYTES, LONG, PART = 480_000, 1_900_000, 1 << 23, 256, 1 << 18
 
     def __init__(self, merges: Merges):
         self.merges, self.table = merges, WordTable()
@@ -246,7 +247,7 @@ class Encoder:
 
     def of_words(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, one after another, and how many each has."""
-        if self.table.n > self.KEPT or self.used > self.IDS:
+        if self.table.n > self.KEPT or self.used > self.IDS or self.table.long_bytes > self.BYTES:
             self._forget()
         known = self.table.n
         rows, new = self.table.rows(data, begin, end)

@@ -39,7 +39,7 @@ def encode(docs: DataFrame, path: str, *keep: str) -> DataFrame:
 
     def run(batches):
         encoder = encoder_of(shared.value)
-        for part, texts in arrow.slices(batches):
+        for part, texts in arrow.slices(batches, most=encoder.PART):
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _id_lists(*encoder.ids(texts))], [*keep, "token_ids"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
@@ -87,7 +87,7 @@ def round_trip(docs: DataFrame, path: str, *keep: str, with_ids: bool = False) -
     def run(batches):
         merges, encoder = merges_of(shared.value), encoder_of(shared.value)
         names = arrow.once(("names", merges.size), lambda: _Numbers(merges.size))
-        for part, texts in arrow.slices(batches):
+        for part, texts in arrow.slices(batches, most=encoder.PART):
             seen, whole = [_Seen(merges) for _ in texts], [[] for _ in texts] if with_ids else None
             for places, ids, counts in encoder.stream(texts):
                 ends = np.cumsum(counts)

@@ -67,7 +67,7 @@ class WordTable:
         self.clear(bits)
 
     def clear(self, bits: int = 14) -> None:
-        self.n, self.long = 0, {}
+        self.n, self.long, self.long_bytes = 0, {}, 0
         self._empty(bits)
 
     def _empty(self, bits: int) -> None:
@@ -164,6 +164,7 @@ class WordTable:
             if row is None:
                 row = self.long[word] = self.n
                 self.n += 1
+                self.long_bytes += len(word)
                 later.append(k)
             out[k] = row
         return out, np.concatenate([*new, np.array(later, dtype=np.int64)])

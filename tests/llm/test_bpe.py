@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -81,3 +83,49 @@ def test_words_are_forgotten(encoder, monkeypatch):
     small = bpe.Encoder(encoder.merges)
     for text in ["a b c d", "e f g h i j k l", "a b c d"]:
         assert flat(small.encode([text])[0]) == flat(encoder.encode([text])[0])
+
+
+def made_words(r, n, size):
+    """n words of this size, no two alike but by chance, each with a space in front."""
+    letters = r.choices("abcdefghijklmnopqrstuvwxyz", k=n * size)
+    return "".join(" " + "".join(letters[k : k + size]) for k in range(0, n * size, size))
+
+
+def test_what_an_encoder_keeps_has_few_bytes(encoder):
+    r, fresh = random.Random(7), bpe.Encoder(encoder.merges)
+    table = fresh.table
+    for n, size in [(30_000, 7)] * 24 + [(1200, 200)] * 50:  # 720,000 words; 12 MB of long ones
+        fresh.ids([made_words(r, n, size)])
+        arrays = (table.low, table.high, table.row, fresh.pool, fresh.first, fresh.size)
+        assert sum(a.nbytes for a in arrays) + sum(map(len, table.long)) < 50e6
+
+
+def test_a_batch_of_long_texts_takes_little_memory(encoder, library, monkeypatch):
+    monkeypatch.setattr(bpe_codec.arrow, "map_texts", lambda rows, run, schema: run)
+
+    class Docs:  # round_trip needs no more of a table to make its function
+        schema, value = (), bpe_codec.described(PATH)
+        sparkSession = sparkContext = property(lambda self: self)
+        select = broadcast = lambda self, *_: self
+
+    run = bpe_codec.round_trip(Docs(), PATH, "doc_id")
+    r = random.Random(8)
+    made = [made_words(r, 5000, 9) for _ in range(20)]
+    texts = [*made, "".join(made), "a"]  # parts of a batch, and a part of a text
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": texts})
+    list(run([batch.slice(0, 1)]))  # what is made once
+    tracemalloc.start()
+    got = pa.Table.from_batches(run([batch])).to_pylist()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for x, text in zip(got, texts, strict=True):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert (x["doc_id"], x["n_tokens"], x["ids_sha256"]) == (texts.index(text), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    assert most < 60e6  # 138e6 when a part had a million characters
+
+
+def test_memory_that_arrow_has_freed_goes_back(monkeypatch):
+    released = []
+    monkeypatch.setattr(bpe_codec.arrow.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: released.append(1)})())
+    bpe_codec.arrow.trim()
+    assert released
