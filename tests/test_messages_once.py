@@ -9,6 +9,7 @@ from ledgerlens.operators import chain
 from ledgerlens.plans import catalogue, catalogue_wire
 from ledgerlens.sources.paths import Files
 from ledgerlens.streaming import runner
+from ledgerlens.streaming.store import LedgerStore
 
 DIR = "/root/testdata/sf0.001"
 
@@ -54,6 +55,16 @@ def test_an_unreadable_message_leaves_nothing_behind(spark):
     assert Files(spark).names(spark.conf.get("spark.checkpoint.dir")) == before
 
 
+def test_a_first_commit_reads_operations_for_what_is_stored_no_second_time(spark, tmp_path, monkeypatch):
+    store, seen = LedgerStore(spark, str(tmp_path / "store")), []
+    ops = catalogue.valid_ops(spark, DIR).withColumn("block_hash", F.lit("00"))
+    headers = spark.createDataFrame([], "number long, hash string, parent_hash string, changeset_hash string, timestamp long")
+    stored = store.ops()
+    monkeypatch.setattr(type(stored), "join", lambda self, other, *a, _join=type(stored).join, **k: seen.append(self is stored) or _join(self, other, *a, **k))
+    store._check_ops(headers, ops, stored, None, {"segments": []})
+    assert seen and not any(seen)
+
+
 def test_hex_text_without_its_mark(spark):
     from ledgerlens.sources import wire
 
